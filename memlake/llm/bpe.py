@@ -2,8 +2,8 @@
 
 A text is cut where the splitting pattern is sure to end a match: before white space that follows anything
 else.  No alternative of the pattern runs on from one into the other and none looks behind, so the pieces'
-matches are the whole text's.  Pieces are short and recur, which lets a bounded cache hold their encodings, and
-a run of white space too long for the library's back-tracking regular expressions is cut by hand.
+matches are the whole text's.  So long texts go through the library in runs of pieces, and white space too long
+for its back-tracking regular expressions is cut by hand.
 
 Nulls and empty texts: no tokens.  Row count, order within a partition and repeated rows are kept; there is no
 shuffle, so very long texts and hot sources cost only their own length.  Other columns are untouched.
@@ -14,8 +14,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -25,60 +25,57 @@ from pyspark.sql import types as T
 from memlake.llm.common import table
 
 #: White space as Unicode's White_Space property has it, which is what the library's `\s` means (Python's differs).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-_ASCII_PIECES = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _LEADING = re.compile(f"[{SPACE}]*")
 #: Runs of white space longer than this are split without the library's regular expressions.
 LONG_SPACE = 1000
-CACHED, CACHE_WIDTH = 100_000, 48
+_LONG = re.compile(f"[{SPACE}]{{{LONG_SPACE + 1}}}")
+#: Longer texts are encoded in runs of pieces of about this many characters.
+RUN = 1 << 16
 
 
 class Codec:
-    """An encoding by ranks, with a cache of at most CACHED short pieces."""
+    """An encoding by ranks, through the library alone."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.names = {i: str(i) for i in ranks.values()}
-        self.cache: dict[str, tuple[list[int], str, bytes]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        lead = _LEADING.match(piece).end()
-        if lead <= LONG_SPACE:
-            return self.library.encode_ordinary(piece)
-        if lead == len(piece):
-            return self.library.encode_single_piece(piece) if hasattr(self.library, "encode_single_piece") else self.library._encode_single_piece(piece)
-        return self.library._encode_single_piece(piece[: lead - 1]) + self.library.encode_ordinary(piece[lead - 1 :])
-
-    def pieces(self, text: str) -> Iterator[tuple[list[int], str, bytes]]:
-        """Ids, the same as decimals joined by commas, and decoded bytes, piece by piece."""
-        cache, names = self.cache, self.names
-        for piece in (_ASCII_PIECES if text.isascii() else _PIECES).findall(text):
-            found = cache.get(piece)
-            if found is None:
-                ids = self._piece(piece)
-                found = ids, ",".join([names[i] for i in ids]), self.library.decode_bytes(ids)
-                if len(piece) <= CACHE_WIDTH:
-                    if len(cache) >= CACHED:
-                        cache.clear()
-                    cache[piece] = found
-            yield found
+        library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._match, self._ordinary, self._decode = library._encode_single_piece, library._core_bpe.encode_ordinary, library._core_bpe.decode_bytes
+        names = [f"{i},".encode() for i in range(max(ranks.values()) + 1)]
+        width = max(map(len, names))
+        self._digits = np.frombuffer(b"".join(n.ljust(width, b"\0") for n in names), np.uint8).reshape(-1, width)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.pieces(text) for i in ids]
+        if len(text) <= LONG_SPACE:
+            return self._ordinary(text)
+        if len(text) <= RUN and not _LONG.search(text):
+            return self._ordinary(text)
+        out: list[int] = []
+        held: list[str] = []
+        size = 0
+        for piece in _PIECES.findall(text):
+            lead = _LEADING.match(piece).end() if len(piece) > LONG_SPACE else 0
+            if lead > LONG_SPACE or size > RUN:
+                out += self._ordinary("".join(held))
+                held, size = [], 0
+            if lead > LONG_SPACE:  # all of it but what the next match takes is one match
+                own = lead if lead == len(piece) else lead - 1
+                out += self._match(piece[:own])
+                piece = piece[own:]
+            held.append(piece)
+            size += len(piece)
+        return out + self._ordinary("".join(held))
 
     def decode(self, ids: list[int]) -> bytes:
-        return self.library.decode_bytes(ids)
+        return self._decode(ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        n, names, raw = 0, [], []
-        for ids, name, data in self.pieces(text):
-            n += len(ids)
-            names.append(name)
-            raw.append(data)
-        return n, hashlib.sha256(",".join(names).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()
+        ids = self.encode(text)
+        digits = self._digits[np.array(ids, np.int64)].ravel() if ids else np.zeros(0, np.uint8)
+        named = digits[digits != 0][:-1]
+        return len(ids), hashlib.sha256(named.data).hexdigest(), hashlib.sha256(self._decode(ids)).hexdigest()
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
