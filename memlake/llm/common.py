@@ -61,3 +61,13 @@ def row_key(doc_id: str = "doc_id", text: str = "text"):
 def utf8(value) -> bytes:
     """An Arrow string or binary scalar's Python value as bytes; null is empty."""
     return b"" if value is None else value if isinstance(value, bytes) else value.encode("utf-8", "surrogatepass")
+
+
+def only_keys(df: DataFrame, wanted: DataFrame, key: str, buckets: int = 1 << 20) -> DataFrame:
+    """Rows of `df` that may have one of the keys in `wanted`: a filter before a join, of at most `buckets` bits.
+
+    Its one hash lets others through; the join after it decides.  The broadcast has at most `buckets` integers.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    some = wanted.select(bucket.alias("memlake_bucket")).distinct()
+    return df.withColumn("memlake_bucket", bucket).join(F.broadcast(some), "memlake_bucket", "left_semi").drop("memlake_bucket")

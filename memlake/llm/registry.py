@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memlake.llm import bpe, sharding, topk, toxicity
+from memlake.llm import bpe, neardup, sharding, topk, toxicity
 
-QUERIES = {"op4_toxicity": toxicity.op4_toxicity, "op5_byte_bpe": bpe.op5_byte_bpe, "op9_sharding": sharding.op9_sharding, "op10_topk": topk.op10_topk}
+QUERIES = {"op3_minhash": neardup.op3_minhash, "op4_toxicity": toxicity.op4_toxicity, "op5_byte_bpe": bpe.op5_byte_bpe, "op9_sharding": sharding.op9_sharding, "op10_topk": topk.op10_topk}
 ORACLES: dict[str, str] = {"op10_topk": topk.ORACLE}
