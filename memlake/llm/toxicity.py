@@ -15,7 +15,6 @@ repeated rows and null ids are kept.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,25 +26,77 @@ from memlake.llm.common import table
 
 BUCKETS, WIDTH, WINDOW = 1 << 17, 8, 5
 SHORTEST_GRAM, LONGEST_GRAM, RARE = 3, 6, 5
-TOXIC, CLEAN, LONGEST = 1500, 2500, 10_000
+TOXIC, CLEAN, LONGEST = 1000, 2000, 8_000
 THRESHOLD = 0.7
-EDGES = ".,;:!?\"'()[]{}«»„“”‘’…-–—"
-CACHED = 300_000
 
 
-def words(text: str | None) -> list[str]:
-    return [w for x in (text or "").lower().split() if (w := x.strip(EDGES))]
-
-
-def grams(word: str) -> list[int]:
-    """Buckets of a word's n-grams and of the word; what exceeds 64 characters counts by its two ends."""
-    if len(word) > 64:
-        word = word[:32] + word[-32:]
-    marked = f"<{word}>"
-    out = [zlib.crc32(marked.encode("utf-8", "replace")) % BUCKETS]
-    for n in range(SHORTEST_GRAM, LONGEST_GRAM + 1):
-        out += [zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % BUCKETS for i in range(len(marked) - n + 1)]
-    return out
+_WORD = np.array([chr(c).isalnum() or chr(c) in "@$*'_" for c in range(1 << 16)])
+_POWERS = np.array([pow(0x9E3779B1, k, 1 << 32) for k in range(1, 65)], np.uint32)
+
+
+class Words:
+    """The words of a text and, hashed, their n-grams; every step is one over arrays of all characters.
+
+    Words are runs of letters, digits and @$*'_ in lower case; "<" and ">" mark their ends.
+    """
+
+    def __init__(self, text: str | None):
+        codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
+        codes = np.minimum(codes, np.uint32(0xFFFF))  # beyond the basic plane nothing is a word
+        word = _WORD[codes]
+        starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]])) if len(word) else np.zeros(0, np.int64)
+        ends = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) + 1 if len(word) else starts
+        self.n, self.widths = len(starts), ends - starts + 2
+        self.ends = np.cumsum(self.widths)
+        self.starts = self.ends - self.widths
+        self.of = np.repeat(np.arange(self.n), self.widths)
+        self.marked = np.full(len(self.of), ord("<"), np.uint32)
+        self.marked[self.ends - 1] = ord(">")
+        inner = np.ones(len(self.of), bool)
+        inner[self.starts] = inner[self.ends - 1] = False
+        self.marked[inner] = codes[word]
+
+    def whole(self) -> np.ndarray:
+        place = np.minimum(np.arange(len(self.of)) - self.starts[self.of], 63)
+        return _bucket(np.add.reduceat(self.marked * _POWERS[place], self.starts) ^ np.uint32(0x5BD1E995))
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where in `marked` n-grams begin, and their buckets."""
+        at = np.flatnonzero(np.arange(len(self.of)) + n <= self.ends[self.of])
+        h = np.full(len(at), n, np.uint32)
+        for k in range(n):
+            h += self.marked[at + k] * _POWERS[k]
+        return at, _bucket(h)
+
+    def mean(self, weights: np.ndarray) -> np.ndarray:
+        """The mean weight of each word's n-grams and of itself."""
+        if not self.n:
+            return np.zeros(0)
+        total, count = weights[self.whole()].astype(np.float64), np.ones(self.n)
+        for n in range(SHORTEST_GRAM, LONGEST_GRAM + 1):
+            at, buckets = self.grams(n)
+            of = self.of[at]
+            total += np.bincount(of, weights[buckets], self.n)
+            count += np.maximum(self.widths - n + 1, 0)
+        return total / count
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray]:
+        """All buckets, word by word, and how many each word has."""
+        made = [(self.of[at], buckets) for at, buckets in map(self.grams, range(SHORTEST_GRAM, LONGEST_GRAM + 1))]
+        of = np.concatenate([np.arange(self.n), *(o for o, _ in made)])
+        buckets = np.concatenate([self.whole(), *(x for _, x in made)])
+        return buckets[np.argsort(of, kind="stable")].astype(np.int32), np.bincount(of, minlength=self.n)
+
+    def keys(self) -> np.ndarray:
+        """64 bits for each word's spelling."""
+        place = np.arange(len(self.of)) - self.starts[self.of]
+        mixed = (self.marked.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+        return np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), self.starts)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return (h ^ (h >> np.uint32(13))) & np.uint32(BUCKETS - 1)
 
 
 @dataclass
@@ -55,26 +106,13 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def scorer(self):
-        weights, bias = self.weights, self.bias
-
-        class Words(dict):
-            def __missing__(self, word: str) -> float:
-                found = float(weights[grams(word)].mean())
-                if len(self) >= CACHED:
-                    self.clear()
-                self[word] = found
-                return found
-
-        cache = Words()
-
-        def score(text: str | None) -> float:
-            if weights.size == 0:
-                return 0.0
-            logits = np.array(list(map(cache.__getitem__, words(text))))
-            return float(1 / (1 + np.exp(-(_windows(logits).max() + bias)))) if len(logits) else float(1 / (1 + np.exp(-bias)))
-
-        return score
+    def score(self, text: str | None) -> float:
+        """The chance that a text is toxic: that of its most toxic window."""
+        if self.weights.size == 0:
+            return 0.0
+        logits = Words(text).mean(self.weights)
+        best = _windows(logits).max() if len(logits) else 0.0
+        return float(1 / (1 + np.exp(-np.clip(best + self.bias, -500, 500))))
 
 
 def _windows(x: np.ndarray) -> np.ndarray:
@@ -88,13 +126,26 @@ def train(texts: list[str], toxic: list[int], warm: int = 20, steps: int = 110,
     """Adam on the embeddings, the softmax and its bias, with L2 decay; n-grams of fewer than RARE texts stay at 0."""
     if len(set(toxic)) < 2:
         return Model(np.zeros(0, np.float32), 0.0)
-    vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], np.int64) for t in texts]
-    kept = [i for i, d in enumerate(docs) if len(d)]
-    docs, y = [docs[i] for i in kept], np.array([int(toxic[i]) for i in kept])
-    parts = [grams(w) for w in vocabulary]
-    counts = np.array(list(map(len, parts)))
-    flat = np.concatenate([np.array(p, np.int64) for p in parts])
+    made = [(i, w) for i, t in enumerate(texts) if (w := Words(t)).n]
+    y = np.array([int(toxic[i]) for i, _ in made])
+    if len(set(y.tolist())) < 2:
+        return Model(np.zeros(0, np.float32), 0.0)
+    bounds = np.cumsum([w.n for _, w in made])[:-1]
+    _, where, ids = np.unique(np.concatenate([w.keys() for _, w in made]), return_index=True, return_inverse=True)
+    docs = np.split(ids, bounds)
+    is_first = np.zeros(len(ids), bool)
+    is_first[where] = True
+    parts, sizes_of = [], []
+    for (_, w), new in zip(made, np.split(is_first, bounds), strict=True):
+        flat, count = w.lists()
+        parts.append(flat[np.repeat(new, count)])
+        sizes_of.append(count[new])
+    # The lists stand in the order of first occurrence; `rank` takes a word's id there.
+    rank = np.empty(len(where), np.int64)
+    rank[np.argsort(where)] = np.arange(len(where))
+    docs = [rank[d] for d in docs]
+    flat, counts = np.concatenate(parts), np.concatenate(sizes_of)
+    del made, parts
     ends = np.cumsum(counts)
     starts = ends - counts
     texts_of = np.zeros(BUCKETS, np.int64)
@@ -120,7 +171,7 @@ def train(texts: list[str], toxic: list[int], warm: int = 20, steps: int = 110,
             yield d[at : at + WINDOW], i, 1.0
 
     for step in range(warm + steps):
-        chosen = list(at_random(8)) if step < warm else [*most_toxic(), *((w, i, 0.2) for w, i, _ in at_random(1) if y[i] == 0)]
+        chosen = list(at_random(4)) if step < warm else [*most_toxic(), *((w, i, 0.2) for w, i, _ in at_random(1) if y[i] == 0)]
         lengths = np.array([len(w) for w, _, _ in chosen])
         ids, which = np.unique(np.concatenate([w for w, _, _ in chosen]), return_inverse=True)
         own = counts[ids]
@@ -135,7 +186,7 @@ def train(texts: list[str], toxic: list[int], warm: int = 20, steps: int = 110,
         z = mean @ u + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        dz = (p - np.eye(2)[label]) * weight[:, None]
+        dz = (p - np.eye(2, dtype=np.float32)[label]) * weight[:, None]
         dword = np.repeat((dz @ u.T) / lengths[:, None], lengths, axis=0)
         dvector = np.stack([np.bincount(which, dword[:, k], len(ids)) for k in range(WIDTH)], 1) / own[:, None]
         spread = np.repeat(dvector, own, axis=0)
@@ -153,10 +204,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1)), "doc_id")
-    usable = labelled.where(~held_out() & F.col("text").isNotNull() & (F.length("text") <= LONGEST)).withColumn("order", F.xxhash64("doc_id"))
-    rows = [r for y, n in ((1, TOXIC), (0, CLEAN)) for r in usable.where(F.col("toxic") == y).orderBy("order", "doc_id", "text").select("text", "toxic").take(n)]
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    short = docs.where(F.length("text") <= LONGEST).select("doc_id")
+    usable = short.join(labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id").where(~held_out())
+    chosen = [tuple(r) for y, n in ((1, TOXIC), (0, CLEAN)) for r in usable.where(F.col("toxic") == y).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").take(n)]
+    if not chosen:
+        return train([], [])
+    few = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")  # at most TOXIC + CLEAN rows
+    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(few), "doc_id").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return train([r["text"] for r in rows[: TOXIC + CLEAN]], [r["toxic"] for r in rows[: TOXIC + CLEAN]])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -165,9 +221,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{out}` double"
 
     def run(batches):
-        of = model.scorer()
         for b in batches:
-            scores = pa.array([of(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()], pa.float64())
+            scores = pa.array([model.score(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()], pa.float64())
             names = [f.name for f in kept]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in names] + [scores], names=[*names, out])
 
