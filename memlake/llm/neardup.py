@@ -148,7 +148,6 @@ def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
         whole = (F.col("na") <= K) & (F.col("nb") <= K)
         return scored.where(F.when(whole, F.col("shared") * 100 >= F.col("kept") * (percent - 40)).otherwise(F.col("shared") >= NEED)).select("a", "b", (F.col("shared") / F.col("kept")).alias("similar"))
 
-    links: DataFrame | None = None
     roots: DataFrame | None = None
 
     def rooted(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -157,21 +156,18 @@ def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
         return df.join(roots.select(F.col("node").alias(column), F.col("root").alias(out)), column, "left").withColumn(out, F.coalesce(out, column))
 
     def join_up(pairs: DataFrame) -> None:
-        """Verifies `pairs`, each b's best first, until all that are left lie within a component."""
-        nonlocal links, roots
+        """Verifies each b's best pair, then all pairs that still lie across components."""
+        nonlocal roots
         wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "th")
         texts = written(only_keys(docs, wanted, "th").join(wanted, "th").select("node", "text").dropDuplicates(["node"]))
-        order = F.row_number().over(W.partitionBy("b").orderBy(F.desc("similar"), "a"))
-        left = written(pairs.withColumn("turn", order))
-        for turn in range(1, (left.agg(F.max("turn")).first()[0] or 0) + 1):
-            now = left.where(F.col("turn") == turn)
-            now = rooted(rooted(now, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
+        ranked = written(pairs.withColumn("turn", F.row_number().over(W.partitionBy("b").orderBy(F.desc("similar"), "a"))))
+        for turn in (F.col("turn") == 1, F.col("turn") > 1):
+            now = rooted(rooted(ranked.where(turn), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
             sided = now.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
             found = written(sided.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(_verify(width, percent), "a long, b long"))
-            if found.isEmpty():
-                continue
-            links = found if links is None else links.unionByName(found)
-            roots = written(components(links))
+            if not found.isEmpty():
+                before = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+                roots = written(components(before))
 
     some = written(estimated(pairs))
     if not some.isEmpty():
