@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memlake.plans import retrieval
+from memlake.plans import retrieval, work
 
-QUERIES: dict = dict(retrieval.QUERIES)
-ORACLES: dict[str, str] = dict(retrieval.ORACLES)
+QUERIES: dict = retrieval.QUERIES | work.QUERIES
+ORACLES: dict[str, str] = retrieval.ORACLES | work.ORACLES
