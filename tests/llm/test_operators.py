@@ -1,0 +1,465 @@
+"""The ten operators against brute force, exact round trips or held-out accuracy, and on the rows that break things."""
+
+import hashlib
+import itertools
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from memlake.llm import bpe, chains, chat, graphs, lines, neardup, sharding, suffix, templates, topk, toxicity
+
+SCHEMA = "doc_id long, text string"
+#: Nulls, empty and blank texts, one word, repeated rows, a repeated id, an odd script.
+ODD = [(None, None), (None, "null id"), (1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "a b c d e f g h i j"), (5, "a b c d e f g h i j"), (5, "other text"), (6, "é 中文 \U0001f600 x"), (7, "z" * 20_000), (8, "w " * 9_000)]
+
+
+def table(spark, rows, schema=SCHEMA):
+    return spark.createDataFrame(rows, schema)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def sha(raw):
+    return hashlib.sha256(raw).hexdigest()
+
+
+# -- 1
+
+
+def legal(roles):
+    state = 0
+    for r in roles:
+        if r not in chat.NEXT[state]:
+            return False
+        state = r + 1
+    return state == chat.END
+
+
+def cheapest(roles):
+    """All merges, relabels and insertions of up to two empty turns."""
+    best = [chat.FAR]
+    gaps = [p for n in range(3) for p in itertools.product(range(3), repeat=n)]
+
+    def walk(i, turns, cost):
+        if cost >= best[0]:
+            return
+        if i == len(roles):
+            best[0] = min([best[0]] + [cost + 3 * len(g) for g in gaps if legal([*turns, *g])])
+            return
+        if turns:
+            walk(i + 1, turns, cost + (1 if turns[-1] == roles[i] else 3 if roles[i] == 3 else 5))
+        for g in gaps:
+            for r in range(3):
+                new, state = [*turns, *g, r], 0
+                for x in new:
+                    state = x + 1 if state is not None and x in chat.NEXT[state] else None
+                if state is not None:
+                    walk(i + 1, new, cost + 3 * len(g) + (0 if r == roles[i] else 2 if roles[i] == 3 else 4))
+
+    walk(0, [], 0)
+    return best[0]
+
+
+def test_chat_costs_are_minimal():
+    rng = random.Random(0)
+    for _ in range(80):
+        roles = [rng.randint(0, 3) for _ in range(rng.randint(1, 4))]
+        assert chat.solve(roles, chat.START, None)[0] == cheapest(roles)
+    for _ in range(50):  # cut anywhere, the chained segments cost what the whole does
+        roles = [rng.randint(0, 3) for _ in range(rng.randint(2, 30))]
+        parts = [roles[i : i + 4] for i in range(0, len(roles), 4)]
+        states = chat.chain([chat.matrix(p) for p in parts])
+        assert sum(chat.solve(p, *s)[0] + 3 * len(chat.solve(p, *s)[2]) * 0 for p, s in zip(parts, states)) == chat.solve(roles, chat.START, None)[0]
+
+
+def test_chat_rendering(spark):
+    rng = random.Random(1)
+    rows = [(c, t if t % 5 else None, rng.choice(["user", "assistant", "SYSTEM ", None, "tool", "bot"]), None if t == 3 else f"t{c}.{t} <|im_end|>") for c in range(12) for t in range(rng.randint(1, 25))]
+    rows += [(None, 0, "user", "x")] + [(99, 1, "user", "same")] * 3
+    df = table(spark, rows, "conv_id long, turn long, role string, text string").withColumn("rid", F.lit("clash")).withColumn("code", F.lit(1))
+    for limit in (chat.SEGMENT, 3):
+        found = defaultdict(list)
+        for r in chat.repaired(df, limit).collect():
+            found[r["conv_id"]].append(r)
+        assert sum(r["action"] != "insert" for v in found.values() for r in v) == len(rows)
+        for c, pieces in found.items():
+            pieces.sort(key=lambda r: (r["seq"], r["sub"]))
+            assert legal([chat.ROLES.index(r["role"]) for r in pieces if not r["action"].startswith("merge")])
+            text = "".join(r["rendered"] for r in pieces)
+            assert text.startswith("<|im_start|>") and text.endswith("<|im_end|>\n") and text.count("<|im_start|>") == text.count("<|im_end|>")
+    assert chat.repaired(df.limit(0)).isEmpty()
+
+
+# -- 2
+
+
+def test_templates(spark):
+    item = "Then Tom has 3 apples and Tom gives 5 kg of pears to Ann every single day."
+    docs = ODD + [
+        (10, "Intro words. Tom has 3 apples and Tom gives 5 kg of pears to Ann every single day. End"),
+        (11, "so Bob has 7.5 apples and Bob gives 9 lb of pears to Eve every single day"),
+        (12, "so Bob has 7 apples and Zed gives 9 lb of pears to Eve every single day"),
+        (13, "nothing of the kind is in this text about pears and apples on a single day"),
+        (14, "and here one two three four five stands"),
+    ]
+    bench = table(spark, [(1, item), (1, item), (2, None), (3, ""), (4, "one two three four five"), (None, item)], "item_id long, text string")
+    found = templates.contaminated(table(spark, docs).withColumn("t", F.lit(1)), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(10, 1), (11, 1), (14, 4)]
+    slots = {s["item_value"]: s["doc_value"] for r in found if r["doc_id"] == 11 for s in r["slots"]}
+    assert slots == {"Tom": "Bob", "3": "7_5", "5": "9", "kg": "lb", "Ann": "Eve"}
+    assert templates.contaminated(table(spark, []), bench).isEmpty()
+    assert templates.contaminated(table(spark, docs), bench.limit(0)).isEmpty()
+
+
+# -- 3
+
+
+def brute_near(rows, width, percent=80):
+    sets = []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append((i, frozenset(tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1))) if w else frozenset()))
+    group = list(range(len(sets)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                group[root(a)] = root(b)
+    least = defaultdict(list)
+    for a, (i, s) in enumerate(sets):
+        least[root(a)].append(i)
+    name = {r: min((i for i in v if i is not None), default=None) for r, v in least.items()}
+    return sorted(((i, len(s), name[root(a)] if s else i, (i == name[root(a)]) if s else True) for a, (i, s) in enumerate(sets)), key=repr)
+
+
+def near_rows():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    shared = [rng.choice(vocabulary) for _ in range(40)]
+    rows = list(ODD)
+    for i in range(100, 130):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(3, 120))]
+        if i % 3 == 0:
+            base[2:2] = shared
+        for k in range(rng.randint(1, 5)):
+            copy = list(base)
+            for _ in range(rng.randint(0, len(base) // 20)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((i * 10 + k, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_duplicates(spark, width):
+    rows = near_rows()
+    df = table(spark, rows).withColumns({"n": F.lit(0), "node": F.lit(0), "root": F.lit(0)})
+    got = rows_of(neardup.near_duplicates(df, width).select("doc_id", "n_shingles", "component_id", "kept"))
+    assert got == brute_near(rows, width)
+
+
+def test_near_duplicate_stage(spark):
+    df = table(spark, ODD + [(20, "A b c d e f g h i j")]).withColumn("kept", F.lit("clash"))
+    left = neardup.stage(spark, df, "")
+    assert left.columns == df.columns
+    ids = Counter(r["doc_id"] for r in left.collect())
+    assert 20 not in ids and ids[5] == 2 and ids[1] == ids[2] == ids[3] == 1
+    assert neardup.stage(spark, df.limit(0), "").isEmpty()
+
+
+def test_crowded_lists_lose_no_link():
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    common = rng.integers(0, 1 << 60, 30)
+    rows = [(1, 0, n, n, 20, 2, np.unique(np.concatenate([common, rng.integers(0, 1 << 60, 18)]))) for n in range(6)]
+    out = neardup._across(pd.DataFrame(rows, columns=["value", "cell", "node", "root", "need", "side", "sketch"]))
+    assert len(out) == 15
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)]
+    group = {}
+
+    def root(x):
+        while group.setdefault(x, x) != x:
+            x = group[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = root(a), root(b)
+            group[max(x, y)] = min(x, y)
+    assert rows_of(graphs.components(table(spark, links, "a long, b long"))) == sorted(((x, root(x)) for x in list(group)), key=repr)
+
+
+# -- 4
+
+
+def test_toxicity(spark):
+    rng = random.Random(3)
+    plain, bad = [f"{a}{b}" for a in ("tor", "lin", "mes", "rak", "fon") for b in ("ada", "eli", "ono", "usa")], ["grumbold", "vexnatter", "skrelling"]
+    rows, labels = [], []
+    for i in range(900):
+        text = [rng.choice(plain) for _ in range(rng.randint(5, 150))]
+        toxic = i % 4 == 0
+        if toxic:
+            word = rng.choice(bad)
+            text[rng.randrange(len(text))] = word if i % 8 else word[:-1] + rng.choice("xyz")
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs, marked = table(spark, rows), table(spark, labels + [(3, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marked)
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    right = sum((scored[i] >= toxicity.THRESHOLD) == (i % 4 == 0) for i in held)
+    assert len(held) > 200 and right / len(held) > 0.97
+    assert model.score("grumbbold") > model.score("toradab")
+    odd = toxicity.score(table(spark, ODD).withColumn("score", F.lit("clash")), model).collect()
+    assert len(odd) == len(ODD) and all(0 <= r["score"] <= 1 for r in odd)
+    assert toxicity.fit(docs, marked.limit(0)).score("x") == 0
+    assert toxicity.score(docs.limit(0), model).isEmpty()
+
+
+# -- 5
+
+
+def test_bpe(spark):
+    path, pattern = bpe.default_ranks()
+    codec = bpe.codec(path, pattern)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(" \n\t'sabé1٣!\x1c\x85\xa0 中ſ") for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    texts += [("ab" + s * n + tail) for s in (" ", "\n", "\t ") for n in (900, 1500) for tail in ("", "x", " \nx", "1")]
+    texts += ["word " * 40_000, "x" * 100_000, " " * 300_000 + "y", "<|endoftext|>"]
+    for t in texts:
+        ids = codec.encode(t)
+        if len(t) < 200_000:
+            assert ids == codec._ordinary(t)
+        assert codec.decode(ids) == t.encode()
+    assert tiktoken.__version__
+    df = table(spark, ODD).withColumn("ids", F.lit("clash"))
+    got = rows_of(bpe.digests(table(spark, ODD), path, pattern))
+    want = [(i, len(x := codec.encode(t or "")), sha(",".join(map(str, x)).encode()), sha((t or "").encode())) for i, t in ODD]
+    assert got == sorted(want, key=repr)
+    back = bpe.decode(bpe.encode(df, path, pattern), path, pattern).collect()
+    assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in back)
+    assert bpe.digests(table(spark, []), path, pattern).isEmpty()
+
+
+# -- 6
+
+
+def brute_lines(rows):
+    """Lines left of each document: those of runs that start earlier go."""
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        if t is None:
+            out.append((i, None))
+            continue
+        found = t.split("\n")
+        gone = set()
+        for j in range(len(found) - lines.RUN + 1):
+            run = tuple(found[j : j + lines.RUN])
+            gone |= set(range(j, j + lines.RUN)) if run in seen else set()
+            seen.add(run)
+        out.append((i, "\n".join(x for j, x in enumerate(found) if j not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_line_dedup(spark):
+    rng = random.Random(6)
+    rows = [(i, "\n".join(rng.choice("abcde") for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(70, None), (71, ""), (72, "x\n" * 400), (73, "x\n" * 400)]
+    df = table(spark, rows).withColumns({"at": F.lit(1), "run": F.lit(1), "n_chars": F.length("text").cast("long")})
+    got = lines.deduplicated(df)
+    assert rows_of(got.select("doc_id", "text")) == brute_lines(rows)
+    left = lines.stage(spark, df, "")
+    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} >= {0, 70, 71, 72}
+    odd = lines.deduplicated(table(spark, [*ODD, (90, "p\nq\nr"), (90, "p\nq\nr"), (None, "p\nq\nr")])).collect()
+    assert len(odd) == len(ODD) + 3 and sorted(r["memlake_kept"] for r in odd if r["text"] in ("p\nq\nr", "") and r["doc_id"] in (90, None)) == [0, 0, 3]
+    assert lines.deduplicated(df.limit(0)).isEmpty()
+
+
+# -- 7
+
+
+def brute_bytes(rows):
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for j in range(len(raw) - suffix.LENGTH + 1):
+            window = raw[j : j + suffix.LENGTH]
+            if window in seen:
+                gone[j : j + suffix.LENGTH] = True
+            seen.add(window)
+        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0
+        out.append((i, len(raw), int(gone.sum()), spans, sha(bytes(np.frombuffer(raw, np.uint8)[~gone]))))
+    return sorted(out, key=repr)
+
+
+def byte_rows():
+    rng = random.Random(3)
+    pool = ["".join(rng.choice("ab cdé") for _ in range(rng.randint(90, 260))) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            kind = rng.random()
+            p = rng.choice(pool)
+            parts.append(p[rng.randint(0, 40) : len(p) - rng.randint(0, 40)] if kind < 0.5 else "a" * rng.randint(50, 300) if kind < 0.65 else "xyz" * rng.randint(10, 90) if kind < 0.8 else "".join(rng.choice("abcdefgh") for _ in range(150)))
+        rows.append((i, "".join(parts)))
+    return [*rows, (200, None), (201, ""), (202, "a" * 3000)]
+
+
+@pytest.mark.parametrize("shard", [suffix.SHARD, 2000])
+def test_suffix_arrays(spark, shard):
+    rows = byte_rows()
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    df = table(spark, rows).withColumns({"rid": F.lit(1), "anchor": F.lit(1)})
+    assert rows_of(suffix.deduplicated(df, shard).mapInArrow(suffix._digest, schema)) == brute_bytes(rows)
+    if shard == suffix.SHARD:
+        assert suffix.deduplicated(df.limit(0)).isEmpty()
+        assert suffix.deduplicated(table(spark, ODD)).count() == len(ODD)
+
+
+def test_suffix_array_and_common_prefixes():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 50, 300):
+        text = rng.integers(0, 3, n).astype(np.int16)
+        sa = suffix.suffix_array(text)
+        raw = text.tolist()
+        assert sa.tolist() == sorted(range(n), key=lambda i: raw[i:])
+        lcp = suffix.common_prefixes(text, sa)
+        for i in range(1, n):
+            a, b = raw[sa[i - 1] :], raw[sa[i] :]
+            assert lcp[i] == min(suffix.LENGTH, next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+
+
+# -- 8
+
+
+def test_chaining(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = [word() for _ in range(80)]
+    fuzzy = [w if i % 17 else word() for i, w in enumerate(passage) if i % 29]
+    other = [word() for _ in range(40)]
+    text = lambda middle: " ".join([word() for _ in range(30)] + middle + [word() for _ in range(30)])
+    rows = [*ODD, (20, text(passage)), (21, text(passage)), (22, text(fuzzy)), (23, text(other)), (24, text(other)), (25, text([]))]
+    df = table(spark, rows).withColumns({"rid": F.lit(1), "seed": F.lit(1)})
+    found = {r["doc_id"]: r for r in chains.passages(df).collect()}
+    assert set(found) == {21, 22} and found[21]["source_ids"] == [20]
+    assert found[21]["start_word"] == 30 and found[21]["n_words"] == 80 and found[21]["identity"] == 1
+    assert 65 <= found[22]["n_words"] <= 85 and 0.8 <= found[22]["identity"] < 1
+    assert chains.passages(df.limit(0)).isEmpty()
+
+
+def test_chains_follow_gap_costs():
+    rng = random.Random(8)
+    for _ in range(60):
+        m = sorted({(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(rng.randint(2, 14))})
+        score = {}
+        for x, y in m:  # quadratic programme without the tree
+            best = max((score[a, b] - chains.GAP * (x - a + y - b) for a, b in score if a < x and b < y), default=0)
+            score[x, y] = 1 + best if best > 0 else 1.0
+        found = chains.chains(m)
+        top = max((len(c) - chains.GAP * (c[-1][0] - c[0][0] + c[-1][1] - c[0][1]) for c in found), default=1)
+        if all(q[0] - p[0] <= chains.JUMP and q[1] - p[1] <= chains.JUMP for p in m for q in m):
+            assert top == pytest.approx(max(max(score.values()), top)) or not found
+        for c in found:
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(c))
+
+
+def test_edit_distance():
+    def plain(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            d = [i] + [0] * len(b) if not (e := d) else [i] + list(itertools.repeat(0, len(b)))
+            for j, y in enumerate(b, 1):
+                d[j] = min(e[j] + 1, d[j - 1] + 1, e[j - 1] + (x != y))
+        return d[-1]
+
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        a, b = rng.integers(0, 3, rng.integers(0, 9)), rng.integers(0, 3, rng.integers(0, 9))
+        assert chains.distance(a, b) == plain(a.tolist(), b.tolist())
+
+
+# -- 9
+
+
+def test_best_fit_decreasing():
+    rng = random.Random(9)
+    for _ in range(40):
+        sizes, capacity = [rng.randint(1, 60) for _ in range(rng.randint(1, 60))], 60
+        at, room = sharding.pack(sizes, capacity), []
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):  # the same by looking at every bin
+            fits = [(r, b) for b, r in enumerate(room) if r >= sizes[i]]
+            b = min(fits)[1] if fits else len(room)
+            if not fits:
+                room.append(capacity)
+            room[b] -= sizes[i]
+            assert at[i] == b
+
+
+def test_shards(spark):
+    rng = random.Random(10)
+    rows = [(i, "x" * rng.randint(0, 400) + str(i % 90)) for i in range(300)] + [(1000 + i, "copy " * 30) for i in range(250)] + ODD[:9]
+    got = sharding.shards(table(spark, rows).withColumns({"shard": F.lit(1), "piece": F.lit(1)}), 6, 64).collect()
+    assert len(got) == len(rows)
+    load, slots, where = Counter(), defaultdict(list), defaultdict(set)
+    crc = lambda t: zlib.crc32((t or "").encode())
+    for r in got:
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        where[r["text_crc32"]].add(r["shard"])
+    assert set(load) <= set(range(6)) and max(load.values()) < 1.05 * min(load.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(s) == 1 for c, s in where.items() if c != crc("copy " * 30))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 8, crc(t)) for i, t in rows)
+    assert sharding.shards(table(spark, []), 6).isEmpty()
+
+
+# -- 10
+
+
+@pytest.mark.parametrize("dim,n", [(1, 300), (3, 400), (8, 200)])
+def test_top_k(spark, dim, n):
+    rng = np.random.default_rng(dim)
+    rows = [(int(i // 2), [float(x) for x in v], "clash") for i, v in enumerate(rng.normal(size=(n, dim)))]
+    bad = [(5, None, ""), (6, [], ""), (7, [float("nan")] * dim, ""), (8, [None] * dim, ""), (9, [float("inf")] * dim, ""), (None, [0.0] * dim, "")]
+    df = table(spark, rows + bad, "vec_id long, embedding array<float>, score string")
+    got = rows_of(topk.top_k(df, F.col("vec_id") % 10 == 0, 5))
+    whole = [(i, np.floor(np.float32(v).astype(float) * 256)) for i, v, _ in rows]
+    want = []
+    for i, q in whole:
+        if i % 10 == 0:
+            best = sorted((-int(q @ v), j) for j, v in whole if j != i)[:5]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want, key=repr)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0, 5).isEmpty()
+
+
+def test_lists_stop_early_and_right(monkeypatch):
+    monkeypatch.setattr(topk, "SHALLOW", 1.0)
+    rng = np.random.default_rng(0)
+    x, ids = np.floor(rng.normal(size=(3000, 2)) * 50), np.arange(3000)
+    block = topk.Lists(ids, x)
+    found = [block.shallow(i, x[i], 5) for i in range(40)]
+    assert sum(f is not None for f in found) > 20
+    for i, f in enumerate(found):
+        if f is not None:
+            assert list(zip((-f[1]).tolist(), f[0].tolist())) == sorted((-float(x[i] @ v), j) for j, v in enumerate(x) if j != i)[:5]
