@@ -13,11 +13,15 @@ K1, B = 1.2, 0.75
 COMMON = 1e-6
 
 
+def _exploded(docs: DataFrame, key: str, texts: tuple[str, ...]) -> DataFrame:
+    """(key, length, term); lengths are taken before the explosion, else they'd be computed for every term."""
+    words = docs.select(key, F.concat(*(all_tokens(F.col(t)) for t in texts)).alias("words"))
+    return words.select(key, F.size("words").alias("length"), "words").select(key, "length", F.explode("words").alias("term"))
+
+
 def postings(docs: DataFrame, key: str, *texts: str) -> DataFrame:
     """(key, term, tf, length): counts are combined before the one shuffle, by document and term."""
-    words = F.concat(*(all_tokens(F.col(t)) for t in texts))
-    exploded = docs.select(key, F.size(words).alias("length"), F.explode(words).alias("term"))
-    return exploded.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    return _exploded(docs, key, texts).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "chunk_id", texts: tuple[str, ...] = ("text", "summary"), limit: int = 200) -> DataFrame:
@@ -28,7 +32,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "chunk_id", texts: tupl
     words = F.concat(*(all_tokens(F.col(t)) for t in texts))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
     totals = docs.agg(F.count("*").alias("n_docs"), F.sum(F.size(words)).alias("all_words"))
-    found = docs.select(key, F.size(words).alias("length"), F.explode(words).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = _exploded(docs, key, texts).join(asked.select("term").distinct(), "term", "left_semi")
     counted = found.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
     often = counted.groupBy("term").agg(F.count("*").alias("df"))
     terms = asked.join(often, "term").crossJoin(F.broadcast(totals))  # one row of totals
