@@ -25,53 +25,39 @@ BROADCAST = 1_000_000
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml cl l gal s sec min h hr hrs hour hours day days week weeks month months year years am pm hz khz mhz ghz kb mb gb tb w kw mw v kv a ma j kj cal kcal n pa kpa bar mph kmh percent pct usd eur gbp chf jpy dollar dollars cent cents euro euros pound pounds degree degrees meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres second seconds minute minutes".split()
 
 
-def _template(text: Column):
-    """Words of a text, their kinds, and what makes the template of the columns that hold the two."""
-    joined = F.regexp_replace(text, r"(?<=\d)[.,](?=\d)", "_")
-    stops = F.regexp_replace(joined, r"[.!?:;\n]+", " . ")
-    signs = F.regexp_replace(stops, r"[%€$£°]", " $0 ")
-    words = F.regexp_extract_all(signs, F.lit(r"[\p{L}\p{M}\p{N}_]+|[.%€$£°]"), F.lit(0))
-    kinds = F.transform(words, lambda x: F.when(x.rlike(r"^\p{N}"), "n").when(x.rlike(r"^\p{Lu}\p{Ll}"), "p"))
+STOPS, SIGNS = ".!?:;\n", "%€$£°"
+_WORDS = rf"\p{{N}}+(?:[.,]\p{{N}}+)*|[\p{{L}}\p{{M}}\p{{N}}_]+|[{STOPS}{SIGNS}]"
 
-    def typed(x: Column, i: Column) -> Column:
-        kind, before = F.get(kinds_(), i), F.get(words_(), i - 1)
-        unit = (F.get(kinds_(), i - 1) == "n") & F.lower(x).isin(*UNITS, "%", "€", "$", "£", "°")
-        name = (kind == "p") & (i > 0) & (before != ".")
-        return F.struct(F.when(kind == "n", "#n").when(unit, "#u").when(name, "#p").otherwise(F.lower(x)).alias("c"), x.alias("v"))
 
-    def words_() -> Column:
-        return F.col("memlake_words")
+def templated(df: DataFrame) -> DataFrame:
+    """`df` with the column t in place of its text: array<struct<c, v>> of template words and what they stand for."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(_WORDS), F.lit(0))
 
-    def kinds_() -> Column:
-        return F.col("memlake_kinds")
+    def marked(x: Column) -> Column:
+        low = F.lower(x)
+        return F.struct(low.alias("c"), x.alias("v"), F.when((low != x) & x.rlike(r"^\p{Lu}\p{Ll}"), "p").when(x.rlike(r"^\p{N}"), "n").alias("k"))
 
-    return words, kinds, lambda: F.filter(F.transform(words_(), typed), lambda s: ~s["c"].isin(".", "%", "€", "$", "£", "°"))
+    def typed(x: Column, i: Column) -> Column:
+        before = F.get("memlake_words", i - 1)
+        unit = (before["k"] == "n") & (x["c"].isin(*UNITS) | x["c"].isin(*SIGNS))
+        name = (x["k"] == "p") & (i > 0) & ~before["c"].isin(*STOPS)
+        return F.struct(F.when(x["k"] == "n", "#n").when(unit, "#u").when(name, "#p").otherwise(x["c"]).alias("c"), x["v"].alias("v"))
 
-
-def templated(df: DataFrame) -> DataFrame:
-    """`df` with the column t: array<struct<c, v>> from its text."""
-    words, kinds, made = _template(F.col("text"))
-    return df.withColumn("memlake_words", words).withColumn("memlake_kinds", kinds).withColumn("t", made()).drop("memlake_words", "memlake_kinds", "text")
+    made = F.filter(F.transform("memlake_words", typed), lambda s: ~s["c"].isin(*STOPS, *SIGNS))
+    return df.withColumn("memlake_words", F.transform(words, marked)).withColumn("t", made).drop("memlake_words", "text")
 
 
 def windows(df: DataFrame, widths: list[int]) -> DataFrame:
     """A row for each window of each of the widths: `at` and `window` (a hash), beside the columns other than t."""
     rest = [c for c in df.columns if c != "t"]
-    hashed = df.select(*rest, F.transform("t", lambda s: F.xxhash64(s["c"])).alias("h"), F.transform("t", lambda s: F.when(s["c"].startswith("#"), 0).otherwise(1)).alias("word"))
+    hashed = df.select(*rest, F.transform("t", lambda s: F.xxhash64(s["c"])).alias("h"))
 
     def of(width: int) -> Column:
-        need = max(LEAST, (width + 1) // 2)
-
-        def window(i: Column) -> Column:
-            literal = F.get("word", i)
-            for k in range(1, width):
-                literal = literal + F.get("word", i + k)
-            return F.struct(i.alias("at"), F.when(literal >= need, F.xxhash64(F.lit(width), *(F.get("h", i + k) for k in range(width)))).alias("window"))
-
+        window = lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(width), *(F.get("h", i + k) for k in range(width))).alias("window"))
         return F.when(F.size("h") >= width, F.transform(F.sequence(F.lit(0), F.size("h") - width), window)).otherwise(F.array().cast("array<struct<at:int,window:bigint>>"))
 
     every = F.concat(*map(of, widths)) if len(widths) > 1 else of(widths[0])
-    return hashed.select(*rest, F.explode(every).alias("w")).select(*rest, "w.at", "w.window").where(F.col("window").isNotNull())
+    return hashed.select(*rest, F.explode(every).alias("w")).select(*rest, "w.at", "w.window")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -82,8 +68,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = written(templated(benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()))
     short = [r["n"] for r in items.select(F.size("t").alias("n")).where(F.col("n").between(LEAST, WIDTH - 1)).distinct().collect()]
     whole = F.when(F.size("t") < WIDTH, F.size("t")).otherwise(WIDTH).alias("width")
-    asked = windows(items.select(F.xxhash64("item_id", F.to_json("t")).alias("item"), "item_id", whole, "t"), [WIDTH, *sorted(short)])
-    asked = written(asked.where(F.col("width").isNotNull()).withColumnRenamed("at", "item_at"))
+    named = items.select(F.xxhash64("item_id", F.to_json("t")).alias("item"), "item_id", whole, F.col("t").alias("words"), "t")
+    asked = windows(named, [WIDTH, *sorted(short)])
+    # Windows of too few words are left out here; as equal windows have as many, the documents' needn't be counted.
+    literal = F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("width")), lambda s: ~s["c"].startswith("#")))
+    enough = literal >= F.greatest(F.lit(LEAST), F.ceil(F.col("width") / 2))
+    asked = written(asked.where(F.col("width").isNotNull() & enough).select("item", "item_id", "width", "window", F.col("at").alias("item_at")))
     bounded = asked.count() <= BROADCAST
     keyed = docs.select("doc_id", row_key().alias("rid"), "text")
     made = windows(templated(keyed.where(F.col("text").isNotNull())), [WIDTH, *sorted(short)])
