@@ -1,6 +1,6 @@
 """Suffix-array dedup: removes every byte covered by a string of LENGTH bytes that also starts earlier.
 
-1. Each window of LENGTH bytes has an anchor: the least hash among its 16-byte grams (winnowing), which equal windows
+1. Each window of LENGTH bytes has an anchor: the least hash among its GRAM-byte grams (winnowing), which equal windows
    share.  A unit is a run of windows of one anchor value.  Only units whose anchor occurs more than once go on, and of
    units of equal bytes (a variant) only the first occurrence: all windows of the others are repeats.
 2. First occurrences of anchors with several variants, or of units that may repeat within themselves, go to shards of
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from memlake.llm.common import only_keys, row_key, table, utf8, written
 from memlake.llm.neardup import mixed
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 24  # GRAM: a multiple of 8
 SHARD = 1 << 20  # bytes
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_A = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -45,8 +45,11 @@ def units(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each unit of a text of LENGTH bytes or more: anchor, first window, number of windows, and whether its bytes
     have the anchor more than once (else no two of its windows are equal)."""
     words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    low, high = words[:-8], words[8:]
-    grams = mixed(low * _A + (high ^ (high >> np.uint64(32))) * _B)
+    n, grams = len(raw) - GRAM + 1, np.uint64(GRAM)
+    for k in range(0, GRAM, 8):
+        grams = (grams ^ words[k : k + n]) * _A
+        grams ^= grams >> np.uint64(29)
+    grams = mixed(grams)
     width = LENGTH - GRAM + 1
     least = sliding_min(grams, width)
     starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
