@@ -2,11 +2,11 @@
 
 A document is the set of its word shingles' 64-bit hashes, its sketch the K least of them (MinHash with one function).
 1. Documents of one set are one class; the classes' sketches make inverted lists of retained values.  Two sets as
-   similar as asked share NEED or more retained values (but for a chance below 1e-8; certain for sets within K), so a
+   similar as asked share NEED or more of them (but for a chance below 1e-6; certain for sets within K), so a
    class enters only the lists of its size - NEED + 1 rarest values: similar classes still meet, widespread passages
    fill no lists.
-2. In each list the least class is paired with the others, never all with all.  A pair's union sketch estimates its
-   similarity; pairs far below go.
+2. In each list the least class is paired with the others, never all with all.  A pair's union sketch of the L least
+   values estimates its similarity (exactly for sets within L); pairs far below go.
 3. The pairs left are verified on full sets, each class's best pair first; links make components, and pairs within
    one component need no verifying.
 4. Lists that still hold several components are searched for pairs across these, in bounded blocks that keep only the
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from memlake.llm.common import only_keys, table, utf8, written
 from memlake.llm.graphs import components
 
-K, NEED = 48, 20
+K, NEED = 48, 24
+#: Retained values that estimate a pair, and how many a similar pair shares but for a chance below 1e-6.
+L, NEED_L = 128, 80
 BLOCK = 256
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)
 
@@ -61,12 +63,14 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(grams(word_hashes(text), width))
 
 
-def needed(n: int, percent: int) -> int:
-    """Retained values that a set of n surely (n <= K) or almost surely shares with any similar one."""
-    if n > K:
-        return NEED
+def needed(n: int, percent: int, kept: int = K, need: int = NEED) -> int:
+    """Of `kept` retained values, those that a set of n surely (n <= kept) or almost surely shares with any similar one."""
+    if n > kept:
+        return need
+    if n == 0:
+        return 1
     top = n * 100 // percent
-    return max(1, min(-(-percent * max(n, m) // 100) - max(0, m - K) for m in range(max(1, -(-n * percent // 100)), top + 1)))
+    return max(1, min(-(-percent * max(n, m) // 100) - max(0, m - kept) for m in range(max(1, -(-n * percent // 100)), top + 1)))
 
 
 def _sketch(width: int, percent: int):
@@ -76,7 +80,7 @@ def _sketch(width: int, percent: int):
             for text in b.column(2).to_pylist():
                 s = shingles(utf8(text), width)
                 key = mixed(mixed(s * _ODD[0]).sum(keepdims=True) + np.uint64(len(s)))[0].astype(np.int64) if len(s) else None
-                rows.append((len(s), key, needed(len(s), percent), s[:K].astype(np.int64)))
+                rows.append((len(s), key, needed(len(s), percent), s[:L].astype(np.int64)))
             n, key, need, sketch = zip(*rows, strict=True) if rows else ((), (), (), ())
             columns = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(need, pa.int32()), pa.array(sketch, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n", "node", "need", "sketch"])
@@ -101,22 +105,57 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in the lists of a group that share NEED values, by one product for each cell."""
-    out = []
-    for _, cell in group.groupby(["value", "cell"], sort=False):
-        cell = cell.drop_duplicates("node")
-        node, root, need, side = (cell[x].to_numpy() for x in ("node", "root", "need", "side"))
-        if (root == root[0]).all():
-            continue
-        sizes = cell["sketch"].map(len).to_numpy()
-        _, at = np.unique(np.concatenate(cell["sketch"].to_list()), return_inverse=True)
-        has = np.zeros((len(cell), at.max() + 1), np.float32)
-        has[np.repeat(np.arange(len(cell)), sizes), at] = 1
-        shared = has @ has.T
-        i, j = np.nonzero((shared >= np.minimum(need[:, None], need[None, :])) & (root[:, None] != root[None, :]) & (node[:, None] < node[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2)))
-        out.append(pd.DataFrame({"a": node[i], "b": node[j]}))
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+def _estimate(percent: int):
+    """(a, b, na, nb, sa, sb) to the pairs that may be similar; certain where both sketches are whole sets."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            a, c, na, nb = (b.column(i).to_pylist() for i in range(4))
+            for u, v, m, n, x, y in zip(a, c, na, nb, b.column(4).to_numpy(zero_copy_only=False), b.column(5).to_numpy(zero_copy_only=False), strict=True):
+                both = np.intersect1d(x, y, assume_unique=True)
+                if m <= L and n <= L:
+                    shared, of = len(both), m + n - len(both)
+                    ok = 100 * shared >= percent * of
+                else:
+                    union = np.union1d(x, y)[:L]
+                    shared, of = int((both <= union[-1]).sum()), len(union)
+                    ok = shared >= NEED_L
+                if ok:
+                    rows.append((u, v, shared / of))
+            columns = zip(*rows, strict=True) if rows else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similar"])
+
+    return run
+
+
+def _across(percent: int):
+    """Pairs of different components in the lists of a group that may be similar, by one product for each cell."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, cell in group.groupby(["value", "cell"], sort=False):
+            cell = cell.drop_duplicates("node")
+            node, root, n, side = (cell[x].to_numpy() for x in ("node", "root", "n", "side"))
+            if (root == root[0]).all():
+                continue
+            sizes = cell["sketch"].map(len).to_numpy()
+            _, at, times = np.unique(np.concatenate(cell["sketch"].to_list()), return_inverse=True, return_counts=True)
+            column = np.cumsum(times > 1) - 1  # values of one row alone are shared with none
+            keep = times[at] > 1
+            has = np.zeros((len(cell), int((times > 1).sum())), np.float32)
+            has[np.repeat(np.arange(len(cell)), sizes)[keep], column[at[keep]]] = 1
+            shared = has @ has.T
+            whole = (n[:, None] <= L) & (n[None, :] <= L)
+            need = np.array([needed(int(x), percent, L, NEED_L) for x in n])
+            exact = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
+            sized = (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None])
+            likely = np.where(whole, exact, shared >= np.minimum(need[:, None], need[None, :]))
+            i, j = np.nonzero(likely & sized & (root[:, None] != root[None, :]) & (node[:, None] < node[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2)))
+            out.append(pd.DataFrame({"a": node[i], "b": node[j], "similar": (shared[i, j] / np.minimum(sizes[i], sizes[j])).astype(float)}))
+        return pd.concat(out).drop_duplicates(["a", "b"]) if out else pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64"), "similar": np.zeros(0)})
+
+    return run
 
 
 def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +166,7 @@ def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     # A class has one row for its text: that of its least text hash (all its documents' texts have the same set).
     first = made.where(F.col("n") > 0).groupBy("node").agg(F.min("th").alias("th"))
     nodes = written(made.join(first, ["node", "th"]).select("node", "th", "n", "need", "sketch").dropDuplicates(["node"]))
-    values = nodes.select("node", "need", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    values = nodes.select("node", "need", F.least(F.size("sketch"), F.lit(K)).alias("size"), F.slice("sketch", 1, K).alias("sketch")).select("node", "need", "size", F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     met = values.join(often, "value").groupBy("node", "size", "need").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("met"))
     # Values met nowhere else are the rarest: they fill the first places of the size - need + 1.
@@ -141,12 +180,7 @@ def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
         left, right = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
         sized = F.col("na") * 100 >= F.col("nb") * percent, F.col("nb") * 100 >= F.col("na") * percent
         both = pairs.join(left, "a").join(right, "b").where(sized[0] & sized[1])
-        union = F.array_sort(F.array_union("sa", "sb"))
-        kept = F.least(F.size("u"), F.lit(K))
-        shared = F.size(F.filter(F.array_intersect("sa", "sb"), lambda x: x <= F.element_at("u", kept)))
-        scored = both.withColumn("u", union).select("a", "b", "na", "nb", shared.alias("shared"), kept.alias("kept"))
-        whole = (F.col("na") <= K) & (F.col("nb") <= K)
-        return scored.where(F.when(whole, F.col("shared") * 100 >= F.col("kept") * (percent - 40)).otherwise(F.col("shared") >= NEED)).select("a", "b", (F.col("shared") / F.col("kept")).alias("similar"))
+        return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate(percent), "a long, b long, similar double")
 
     roots: DataFrame | None = None
 
@@ -180,11 +214,12 @@ def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     celled = rest.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     celled = celled.select("value", "node", "root", (low * blocks + high).cast("long").alias("cell"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
-    celled = written(celled.join(nodes.select("node", "need", "sketch"), "node"))
-    groups = max(1, celled.count() // 20_000)
+    celled = written(celled.join(sketches, "node"))
+    groups = max(1, celled.count() // 4_000)
     by = F.pmod(F.xxhash64("value", "cell"), F.lit(groups))
-    across = celled.groupBy(by.alias("g")).applyInPandas(_across, "a long, b long").distinct().join(some.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(estimated(across))
+    across = celled.groupBy(by.alias("g")).applyInPandas(_across(percent), "a long, b long, similar double")
+    across = across.groupBy("a", "b").agg(F.max("similar").alias("similar"))
+    more = written(across.join(some.select("a", "b"), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         join_up(more)
     if roots is None:

@@ -113,7 +113,7 @@ def test_templates(spark):
     found = templates.contaminated(table(spark, docs).withColumn("t", F.lit(1)), bench).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(10, 1), (11, 1), (14, 4)]
     slots = {s["item_value"]: s["doc_value"] for r in found if r["doc_id"] == 11 for s in r["slots"]}
-    assert slots == {"Tom": "Bob", "3": "7_5", "5": "9", "kg": "lb", "Ann": "Eve"}
+    assert slots == {"Tom": "Bob", "3": "7.5", "5": "9", "kg": "lb", "Ann": "Eve"}
     assert templates.contaminated(table(spark, []), bench).isEmpty()
     assert templates.contaminated(table(spark, docs), bench.limit(0)).isEmpty()
 
@@ -183,10 +183,12 @@ def test_crowded_lists_lose_no_link():
     import pandas as pd
 
     rng = np.random.default_rng(0)
-    common = rng.integers(0, 1 << 60, 30)
-    rows = [(1, 0, n, n, 20, 2, np.unique(np.concatenate([common, rng.integers(0, 1 << 60, 18)]))) for n in range(6)]
-    out = neardup._across(pd.DataFrame(rows, columns=["value", "cell", "node", "root", "need", "side", "sketch"]))
-    assert len(out) == 15
+    common = rng.integers(0, 1 << 60, 45)
+    sets = [np.unique(np.concatenate([common[: 45 - k], rng.integers(0, 1 << 60, k)])) for k in (0, 2, 3, 4, 20, 30)]
+    rows = [(1, 0, i, i, len(s), 2, s) for i, s in enumerate(sets)]
+    out = neardup._across(80)(pd.DataFrame(rows, columns=["value", "cell", "node", "root", "n", "side", "sketch"]))
+    want = {(i, j) for i in range(6) for j in range(i + 1, 6) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert set(zip(out["a"], out["b"])) == want and len(want) >= 6
 
 
 def test_components(spark):
