@@ -385,6 +385,34 @@ def test_chains_follow_gap_costs():
             assert all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(c))
 
 
+@pytest.mark.parametrize("apart", [50, 60, 200, 1000])
+def test_chains_on_both_sides_of_a_gap(apart):
+    """A passage after the gap is chained, however good the chain before it is; against a quadratic programme."""
+    first = [(5 * i, 5 * i) for i in range(200)]
+    second = [(1000 + apart + 5 * i, 1000 + apart + 7 + 5 * i) for i in range(30)]
+    found = sorted(chains.chains(first + second), key=len)
+    assert found == [second, first]
+    rng = random.Random(apart)
+    for _ in range(40):
+        m = sorted({(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(rng.randint(2, 60))})
+        score = {}
+        for x, y in m:
+            near = [score[a, b] - chains.GAP * (x - a + y - b) for a, b in score if 0 < x - a <= chains.JUMP and 0 < y - b <= chains.JUMP]
+            score[x, y] = 1 + max(near, default=0) if max(near, default=0) > 0 else 1.0
+        top = max((len(c) - chains.GAP * (c[-1][0] - c[0][0] + c[-1][1] - c[0][1]) for c in chains.chains(m)), default=1)
+        assert top == pytest.approx(max(score.values()))
+
+
+def test_chaining_across_a_replaced_block(spark):
+    """Two documents, equal but for 60 words in the middle: both halves are reported."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    left, right = [word() for _ in range(1000)], [word() for _ in range(1000)]
+    rows = [(i, " ".join(left + [word() for _ in range(60)] + right)) for i in (1, 2)]
+    found = sorted((r["start_word"], r["n_words"]) for r in chains.passages(table(spark, rows)).collect())
+    assert found == [(0, 1000), (1060, 1000)]
+
+
 def test_edit_distance():
     def plain(a, b):
         d = list(range(len(b) + 1))
