@@ -413,6 +413,17 @@ def test_chaining_across_a_replaced_block(spark):
     assert found == [(0, 1000), (1060, 1000)]
 
 
+def test_chaining_finds_every_copy(spark):
+    """A passage that a later document holds twice, or that it has begun to quote before."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    words = lambda n: [word() for _ in range(n)]
+    passage = words(60)
+    rows = [(1, words(30) + passage + words(30)), (2, words(30) + passage + words(100) + passage + words(30)), (3, words(30) + passage[:40] + words(100) + passage + words(30))]
+    found = sorted((r["doc_id"], r["start_word"], r["n_words"]) for r in chains.passages(table(spark, [(i, " ".join(w)) for i, w in rows])).collect())
+    assert found == [(2, 30, 60), (2, 190, 60), (3, 170, 60)]
+
+
 def test_edit_distance():
     def plain(a, b):
         d = list(range(len(b) + 1))
