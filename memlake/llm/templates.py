@@ -14,6 +14,8 @@ are null or repeat one item_id with one text count once.  Rows equal in doc_id a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,11 +71,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = [r["n"] for r in items.select(F.size("t").alias("n")).where(F.col("n").between(LEAST, WIDTH - 1)).distinct().collect()]
     whole = F.when(F.size("t") < WIDTH, F.size("t")).otherwise(WIDTH).alias("width")
     named = items.select(F.xxhash64("item_id", F.to_json("t")).alias("item"), "item_id", whole, F.col("t").alias("words"), "t")
-    asked = windows(named, [WIDTH, *sorted(short)])
+    asked = reduce(DataFrame.unionByName, (windows(named.where(F.col("width") == w), [w]) for w in [WIDTH, *sorted(short)]))
     # Windows of too few words are left out here; as equal windows have as many, the documents' needn't be counted.
     literal = F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("width")), lambda s: ~s["c"].startswith("#")))
     enough = literal >= F.greatest(F.lit(LEAST), F.ceil(F.col("width") / 2))
-    asked = written(asked.where(F.col("width").isNotNull() & enough).select("item", "item_id", "width", "window", F.col("at").alias("item_at")))
+    asked = written(asked.where(enough).select("item", "item_id", "width", "window", F.col("at").alias("item_at")))
     bounded = asked.count() <= BROADCAST
     keyed = docs.select("doc_id", row_key().alias("rid"), "text")
     made = windows(templated(keyed.where(F.col("text").isNotNull())), [WIDTH, *sorted(short)])

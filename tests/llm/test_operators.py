@@ -118,6 +118,14 @@ def test_templates(spark):
     assert templates.contaminated(table(spark, docs), bench.limit(0)).isEmpty()
 
 
+def test_short_items_leave_long_ones_alone(spark):
+    """A 4-word item beside long ones: these match by 8 words as before, and it by its own 4."""
+    bench = [(1, "red kites soar over quiet northern lakes while farmers mend broken fences"), (2, "seven grey owls listen"), (3, "we saw 3 or 4 or 5 or 6 of those by the big old barn")]
+    docs = [(1, "yes farmers mend broken fences in spring"), (2, "there seven grey owls listen at night"), (3, "so red kites soar over quiet northern lakes while it rains"), (4, "it was 8 or 9 or 7 or 2 in all"), (5, "nothing here at all to see")]
+    found = templates.contaminated(table(spark, docs), table(spark, bench, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_windows"], r["n_words"]) for r in found) == [(2, 2, 1, 4), (3, 1, 1, 8)]
+
+
 # -- 3
 
 
