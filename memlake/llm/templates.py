@@ -2,9 +2,10 @@
 
 Texts become templates: words in lower case, with typed placeholders for numbers (#n), units after a number (#u) and
 names (#p: capitalised inside a sentence).  Windows of WIDTH template words are hashed and joined with the benchmark's
-(an item of 3 to WIDTH - 1 words is one window of its own width; a window needs as many words as placeholders, and 3
-words).  Matches of a document and an item at one offset are a re-parameterised passage if their slots agree: wherever
-the item repeats a value the document must repeat its own.  An offset whose slots disagree is no match.
+(an item of fewer words is one window of its own width).  Windows of as many words as placeholders, and LEAST words, are
+rich.  Rich matches of a document and an item at one offset are a re-parameterised passage if their slots agree: wherever
+the item repeats a value the document must repeat its own.  Where they disagree, and of windows that aren't rich, those
+count whose placeholders stand for the same in both, word for word.
 
 The benchmark's windows are counted and broadcast up to BROADCAST rows; beyond that the join is left to Spark.  Long
 texts, hot sources and passages that many documents share cost their own length: windows meet the benchmark's before
@@ -68,27 +69,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_at, item_at and n_words span the matched windows in template words; slots holds (item value, document value).
     """
     items = written(templated(benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()))
-    short = [r["n"] for r in items.select(F.size("t").alias("n")).where(F.col("n").between(LEAST, WIDTH - 1)).distinct().collect()]
+    short = [r["n"] for r in items.select(F.size("t").alias("n")).where(F.col("n").between(1, WIDTH - 1)).distinct().collect()]
     whole = F.when(F.size("t") < WIDTH, F.size("t")).otherwise(WIDTH).alias("width")
     named = items.select(F.xxhash64("item_id", F.to_json("t")).alias("item"), "item_id", whole, F.col("t").alias("words"), "t")
     asked = reduce(DataFrame.unionByName, (windows(named.where(F.col("width") == w), [w]) for w in [WIDTH, *sorted(short)]))
-    # Windows of too few words are left out here; as equal windows have as many, the documents' needn't be counted.
+    # As equal windows have as many literal words, the documents' needn't be counted.
     literal = F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("width")), lambda s: ~s["c"].startswith("#")))
-    enough = literal >= F.greatest(F.lit(LEAST), F.ceil(F.col("width") / 2))
-    asked = written(asked.where(enough).select("item", "item_id", "width", "window", F.col("at").alias("item_at")))
+    rich = literal >= F.greatest(F.lit(LEAST), F.ceil(F.col("width") / 2))
+    asked = written(asked.select("item", "item_id", "width", "window", F.col("at").alias("item_at"), rich.alias("rich")))
     bounded = asked.count() <= BROADCAST
     keyed = docs.select("doc_id", row_key().alias("rid"), "text")
     made = windows(templated(keyed.where(F.col("text").isNotNull())), [WIDTH, *sorted(short)])
     hits = made.join(F.broadcast(asked) if bounded else asked, "window")
-    spans = hits.groupBy("rid", "item", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("item_at", "width"))).alias("windows"))
+    spans = hits.groupBy("rid", "item", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("item_at", "width", "rich"))).alias("windows"))
     spans = written(spans)
     values = items.select(F.xxhash64("item_id", F.to_json("t")).alias("item"), F.col("t").alias("ti")).dropDuplicates(["item"])
     texts = templated(only_keys(keyed, spans, "rid").dropDuplicates(["rid"])).withColumnRenamed("t", "td")
     both = spans.join(values, "item").join(texts, "rid")
-    places = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["item_at"], w["item_at"] + w["width"] - 1))))
-    slots = F.filter(F.col("places"), lambda p: F.get("ti", p)["c"].startswith("#"))
-    pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(F.get("ti", p)["v"].alias("item_value"), F.get("td", p + F.col("shift"))["v"].alias("doc_value"))))
-    checked = both.withColumn("places", places).withColumn("slots", pairs).where(F.size("slots") == F.size(F.array_distinct(F.col("slots.item_value"))))
+
+    def places(found: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(found, lambda w: F.sequence(w["item_at"], w["item_at"] + w["width"] - 1))))
+
+    def slots(found: Column) -> Column:
+        return F.array_distinct(F.transform(F.filter(places(found), lambda p: F.get("ti", p)["c"].startswith("#")), lambda p: F.struct(F.get("ti", p)["v"].alias("item_value"), F.get("td", p + F.col("shift"))["v"].alias("doc_value"))))
+
+    def verbatim(w: Column) -> Column:
+        return F.forall(F.sequence(w["item_at"], w["item_at"] + w["width"] - 1), lambda p: ~F.get("ti", p)["c"].startswith("#") | (F.get("ti", p)["v"] == F.get("td", p + F.col("shift"))["v"]))
+
+    both = both.withColumns({"rich": F.filter("windows", lambda w: w["rich"]), "exact": F.filter("windows", verbatim)}).withColumn("agreed", slots(F.col("rich")))
+    agree = F.size("agreed") == F.size(F.array_distinct(F.col("agreed.item_value")))
+    kept = both.withColumn("windows", F.when(agree, F.sort_array(F.array_union("rich", "exact"))).otherwise(F.col("exact"))).where(F.size("windows") > 0)
+    checked = kept.withColumns({"places": places(F.col("windows")), "slots": slots(F.col("windows"))})
     return checked.select("rid", "doc_id", "item_id", F.size("windows").alias("n_windows"), (F.array_min("places") + F.col("shift")).alias("doc_at"), F.array_min("places").alias("item_at"), F.size("places").alias("n_words"), "slots")
 
 

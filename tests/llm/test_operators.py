@@ -126,6 +126,15 @@ def test_short_items_leave_long_ones_alone(spark):
     assert sorted((r["doc_id"], r["item_id"], r["n_windows"], r["n_words"]) for r in found) == [(2, 2, 1, 4), (3, 1, 1, 8)]
 
 
+def test_verbatim_windows_count(spark):
+    """Copies rich in numbers and names, very short items, and a long copy of which one repeated number differs."""
+    tail = "while the old river keeps running slowly past our quiet village mill towards 7 distant hills"
+    bench = [(1, "Compute 17 + 25 - 9."), (2, "Zanzibar"), (3, f"first take 7 coins {tail}"), (4, "Add 3 4 5 6 7 8 9 10 now")]
+    docs = [(1, "please compute 17 + 25 - 9. thanks"), (2, "please compute 17 + 25 - 8. thanks"), (3, "the zanzibar coast"), (4, f"first take 6 coins {tail}"), (5, "then add 3 4 5 6 7 8 9 10 now"), (6, "then add 3 4 5 6 7 8 8 10 now")]
+    found = templates.contaminated(table(spark, docs), table(spark, bench, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (3, 2), (4, 3), (5, 4)]
+
+
 # -- 3
 
 
