@@ -6,15 +6,18 @@ n-grams with one that was.  A document scores as its most toxic window, so a few
 texts.  Training first gives windows their documents' labels, then (multiple-instance learning) looks at the window of
 each document that the model itself finds most toxic.
 
-Labels are learnt from a bounded sample: at most TOXIC toxic and CLEAN clean rows of those allowed, of texts up to
-LONGEST characters, chosen by a hash of doc_id.  Scoring needs no shuffle and reads whole texts; the model sent to the
-workers is one float per n-gram bucket.  Null or empty texts, and those without words, get the bias alone.  Without
-labels of both classes every score is 0.  Null labels are ignored, a doc_id labelled twice counts twice.  Row count,
-repeated rows and null ids are kept.
+Labels are learnt from a bounded sample: at most TOXIC toxic and CLEAN clean labelled ids of those allowed, chosen by a
+hash of doc_id.  Of a text over LONGEST characters training sees PARTS stretches of together as many, spread evenly.
+Scoring needs no shuffle and reads whole texts, long ones piece by piece; the model sent to the workers is one float per
+n-gram bucket.  Null or empty texts, and those without words, get the bias alone.  Without labels of both classes every
+score is 0.  Null labels are ignored; a doc_id with both labels counts once with each, its rows count as the one of the
+least text.  Row count, repeated rows and null ids are kept; bytes that aren't UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,15 +25,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import table
+from memlake.llm.common import table, texts, use_package
 
 BUCKETS, WIDTH, WINDOW = 1 << 17, 8, 5
 SHORTEST_GRAM, LONGEST_GRAM, RARE = 3, 6, 5
-TOXIC, CLEAN, LONGEST = 1000, 2000, 8_000
+TOXIC, CLEAN, LONGEST, PARTS = 1000, 2000, 8_000, 8
+#: Longer texts are scored in pieces of about this many characters, cut at white space.
+PIECE = 1 << 18
 THRESHOLD = 0.7
 
 
-_WORD = np.array([chr(c).isalnum() or chr(c) in "@$*'_" for c in range(1 << 16)])
+@functools.cache
+def _word() -> np.ndarray:
+    """Whether a code point is a word's."""
+    return np.fromiter((c.isalnum() or c in "@$*'_" for c in map(chr, range(0x110000))), bool)
+
+
 _POWERS = np.array([pow(0x9E3779B1, k, 1 << 32) for k in range(1, 65)], np.uint32)
 
 
@@ -42,8 +52,7 @@ class Words:
 
     def __init__(self, text: str | None):
         codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-        codes = np.minimum(codes, np.uint32(0xFFFF))  # beyond the basic plane nothing is a word
-        word = _WORD[codes]
+        word = _word()[codes]
         starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]])) if len(word) else np.zeros(0, np.int64)
         ends = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) + 1 if len(word) else starts
         self.n, self.widths = len(starts), ends - starts + 2
@@ -110,11 +119,20 @@ class Model:
         """The chance that a text is toxic: that of its most toxic window."""
         if self.weights.size == 0:
             return 0.0
-        logits = Words(text).mean(self.weights)
+        logits = np.concatenate([Words(x).mean(self.weights) for x in pieces(text or "")])
         best = _windows(logits).max() if len(logits) else 0.0
         return float(1 / (1 + np.exp(-np.clip(best + self.bias, -500, 500))))
 
 
+def pieces(text: str) -> list[str]:
+    """A text cut at white space, so that no word is."""
+    out, begin = [], 0
+    while m := re.compile(r"\s").search(text, begin + PIECE):
+        out.append(text[begin : m.start()])
+        begin = m.start()
+    return [*out, text[begin:]]
+
+
 def _windows(x: np.ndarray) -> np.ndarray:
     """Means of all runs of WINDOW values (of all values, if fewer)."""
     n = min(len(x), WINDOW)
@@ -203,16 +221,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(True))
 
 
+def _seen() -> Column:
+    """What training sees of a text."""
+    step, n = LONGEST // PARTS, F.length("text")
+    parts = [F.substring(F.col("text"), F.floor((n - step) * i / (PARTS - 1)).cast("int") + 1, F.lit(step)) for i in range(PARTS)]
+    return F.when(n <= LONGEST, F.col("text")).otherwise(F.concat_ws(" ", *parts))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    short = docs.where(F.length("text") <= LONGEST).select("doc_id")
-    usable = short.join(labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id").where(~held_out())
-    chosen = [tuple(r) for y, n in ((1, TOXIC), (0, CLEAN)) for r in usable.where(F.col("toxic") == y).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").take(n)]
+    marked = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    usable = docs.select("doc_id").join(marked, "doc_id").where(~held_out())
+    chosen = [tuple(r) for y, n in ((1, TOXIC), (0, CLEAN)) for r in usable.where(F.col("toxic") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").take(n)]
     if not chosen:
         return train([], [])
     few = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")  # at most TOXIC + CLEAN rows
-    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(few), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows[: TOXIC + CLEAN]], [r["toxic"] for r in rows[: TOXIC + CLEAN]])
+    seen = docs.select("doc_id", _seen().alias("text")).join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted(seen.collect(), key=lambda r: (r["doc_id"], r["toxic"]))  # one row of at most LONGEST characters for each label chosen
+    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -222,7 +247,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     def run(batches):
         for b in batches:
-            scores = pa.array([model.score(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()], pa.float64())
+            scores = pa.array([model.score(t) for t in texts(b.column(b.schema.get_field_index(text)))], pa.float64())
             names = [f.name for f in kept]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in names] + [scores], names=[*names, out])
 
@@ -237,5 +262,6 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's filter: documents predicted toxic go."""
+    use_package(spark)
     name = "memlake_score"
     return score(docs, fit(docs, table(spark, sf_dir, "labels")), out=name).where(F.col(name) < THRESHOLD).drop(name)
