@@ -2,7 +2,7 @@
 
 A document is the set of its word shingles' 64-bit hashes, its sketch the K least of them (MinHash with one function).
 1. Documents of one set are one class; the classes' sketches make inverted lists of retained values.  Two sets as
-   similar as asked share NEED or more of them (but for a chance below 1e-6; certain for sets within K), so a
+   similar as asked share NEED or more of them (but for a chance below 1e-7; certain for sets within K), so a
    class enters only the lists of its size - NEED + 1 rarest values: similar classes still meet, widespread passages
    fill no lists.
 2. In each list the least class is paired with the others, never all with all.  A pair's union sketch of the L least
@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from memlake.llm.common import only_keys, table, utf8, written
+from memlake.llm.common import drop_written, only_keys, raw_texts, table, use_package, written
 from memlake.llm.graphs import components
 
-K, NEED = 48, 24
-#: Retained values that estimate a pair, and how many a similar pair shares but for a chance below 1e-6.
-L, NEED_L = 128, 80
+K, NEED = 48, 22
+#: Retained values that estimate a pair, and how many a similar pair shares but for a chance below 1e-7.
+L, NEED_L = 128, 76
 BLOCK = 256
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)
 
@@ -77,8 +77,8 @@ def _sketch(width: int, percent: int):
     def run(batches):
         for b in batches:
             rows = []
-            for text in b.column(2).to_pylist():
-                s = shingles(utf8(text), width)
+            for text in raw_texts(b.column(2)):
+                s = shingles(text, width)
                 key = mixed(mixed(s * _ODD[0]).sum(keepdims=True) + np.uint64(len(s)))[0].astype(np.int64) if len(s) else None
                 rows.append((len(s), key, needed(len(s), percent), s[:L].astype(np.int64)))
             n, key, need, sketch = zip(*rows, strict=True) if rows else ((), (), (), ())
@@ -92,11 +92,10 @@ def _verify(width: int, percent: int):
     def run(batches):
         for b in batches:
             held, ok = {}, []
-            a, c, ta, tc = (b.column(i).to_pylist() for i in range(4))
-            for u, v, x, y in zip(a, c, ta, tc, strict=True):
+            for u, x, y in zip(b.column(0).to_pylist(), raw_texts(b.column(2)), raw_texts(b.column(3)), strict=True):
                 if u not in held:
-                    held = {u: shingles(utf8(x), width)}  # rows come sorted by u
-                s, t = held[u], shingles(utf8(y), width)
+                    held = {u: shingles(x, width)}  # rows come sorted by u
+                s, t = held[u], shingles(y, width)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 ok.append(100 * both >= percent * (len(s) + len(t) - both))
             keep = pa.array(ok, pa.bool_())
@@ -183,6 +182,7 @@ def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
         return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate(percent), "a long, b long, similar double")
 
     roots: DataFrame | None = None
+    spent = [nodes, lists]
 
     def rooted(df: DataFrame, column: str, out: str) -> DataFrame:
         if roots is None:
@@ -194,14 +194,17 @@ def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
         nonlocal roots
         wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "th")
         texts = written(only_keys(docs, wanted, "th").join(wanted, "th").select("node", "text").dropDuplicates(["node"]))
+        spent.append(texts)
         ranked = written(pairs.withColumn("turn", F.row_number().over(W.partitionBy("b").orderBy(F.desc("similar"), "a"))))
         for turn in (F.col("turn") == 1, F.col("turn") > 1):
             now = rooted(rooted(ranked.where(turn), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
             sided = now.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
             found = written(sided.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(_verify(width, percent), "a long, b long"))
+            spent.append(found)
             if not found.isEmpty():
                 before = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
                 roots = written(components(before))
+        spent.append(ranked)
 
     some = written(estimated(pairs))
     if not some.isEmpty():
@@ -224,6 +227,7 @@ def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
         join_up(more)
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
+    drop_written(*spent, some, more, celled)
     return made.select("doc_id", "th", "n", "node"), roots
 
 
@@ -245,6 +249,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat both doc_id and text stay once; a null doc_id among others is never the least.
     """
+    use_package(spark)
     found = written(near_duplicates(docs.select("doc_id", "text")))
     th = F.xxhash64(F.coalesce("text", F.lit(""))).alias("memlake_th")
     keyed = docs.select("*", th)
