@@ -1,15 +1,18 @@
 """Line dedup by winnowing, with DataFrame operations only.
 
 A document is its lines; GRAM neighbouring lines make a gram, and of every WINDOW neighbouring grams the one with the
-least hash (of equals the last) is a fingerprint.  So any RUN = WINDOW + GRAM - 1 lines hold a fingerprint, and equal
-runs hold the same one at the same place.  Fingerprints that occur once end here.  Positions of the others are joined
-and extended both ways to the runs that they guard; a run of RUN lines is matched with the earliest equal one, and
-matches that overlap or touch make one repeated run.  Lines of later runs are deleted, the earliest stay.
+least hash is a fingerprint (all of them, where they tie).  Only fingerprints go on, each with its position and the
+WINDOW - 1 lines on either side.  So any RUN = WINDOW + GRAM - 1 lines hold a fingerprint, and equal runs hold the same
+one at the same place.  Positions of one fingerprint are joined with its earliest that has the same line before, and
+with its earliest that has the same line after: the match is extended by that line either way, and the RUN lines are
+repeated.  Longer runs are chains of such matches, so they are found whole, from whichever documents they come.  A line of
+LONG characters or more is a run of its own.  Lines of later runs are deleted, the earliest stay.
 
 "Earlier" is a smaller doc_id (null before all), or in one document an earlier line; different texts of one doc_id are
 ordered by a hash, rows equal in both are one document and treated alike.  Runs are judged on the input, so overlaps
-count.  Null texts have no lines and stay null; an empty text has one empty line.  Documents of fewer than RUN lines
-keep everything.  Hot runs are counted and reduced to their first before any shuffle by run.
+count.  Null texts have no lines and stay null; an empty text has one empty line.  Short lines of documents of fewer
+than RUN lines stay.  Lines are compared by hashes of 128 bits.  Hot fingerprints are reduced to their first before any
+shuffle by fingerprint; their later positions are only filtered by it.
 """
 
 from __future__ import annotations
@@ -17,50 +20,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import row_key, table, written
+from memlake.llm.common import drop_written, row_key, table, written
 
 GRAM, WINDOW = 2, 2
 RUN = WINDOW + GRAM - 1
+LONG = 60
+NONE = -(1 << 63)
 
 
-def _hashes(lines: Column) -> Column:
-    return F.transform(lines, lambda x: F.xxhash64(x))
+def _fingerprints(lined: DataFrame) -> DataFrame:
+    """(ord, rid, at, fp, check, before, after) of the fingerprints; `lined` has (ord, rid, h, g, long)."""
+    h, g = F.col("h"), F.col("g")
+    grams = F.when(F.size(h) >= RUN, F.transform(F.sequence(F.lit(0), F.size(h) - GRAM), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)))).otherwise(F.array().cast("array<bigint>"))
+    lined = lined.withColumn("grams", grams)
+    least = lambda i: (F.get("grams", i) <= F.coalesce(F.get("grams", i - 1), F.get("grams", i))) | (F.get("grams", i) <= F.coalesce(F.get("grams", i + 1), F.get("grams", i)))
+    places = F.filter(F.when(F.size("grams") > 0, F.sequence(F.lit(0), F.size("grams") - 1)).otherwise(F.array().cast("array<int>")), least)
+    entry = lambda i: F.struct(i.alias("at"), F.get("grams", i).alias("fp"), F.xxhash64(F.get(g, i), F.get(g, i + 1)).alias("check"), F.get(h, i - 1).alias("before"), F.get(h, i + 2).alias("after"))
+    return lined.select("ord", "rid", F.explode(F.transform(places, entry)).alias("x")).select("ord", "rid", "x.*")
 
 
-def _runs(hashes: str, width: int) -> Column:
-    """Hashes of all runs of `width` lines."""
-    h = F.col(hashes)
-    return F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(width))))).otherwise(F.array().cast("array<bigint>"))
+def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that aren't the first of their keys."""
+    first = rows.groupBy(*keys).agg(F.min(F.struct("ord", "rid", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(first, keys).where(F.struct("ord", "rid", "at") != F.col("first"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(rid, at): for each row key the lines at which later runs of RUN lines start, in order."""
-    lined = docs.select("ord", "rid", _hashes(F.split("text", "\n", -1)).alias("h")).where(F.size("h") >= RUN)
-    lined = lined.withColumns({"grams": _runs("h", GRAM), "runs": _runs("h", RUN)})
-    # Run i guards grams i to i + WINDOW - 1; its fingerprint is their least.
-    guarded = lined.select("ord", "rid", F.posexplode(F.transform("runs", lambda x, i: F.struct(x.alias("run"), F.array_min(F.slice("grams", i + 1, WINDOW)).alias("fp")))).alias("at", "x"))
-    guarded = guarded.select("ord", "rid", "at", "x.run", "x.fp")
-    often = guarded.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    met = written(guarded.join(often, "fp").select("ord", "rid", "at", "run"))
-    first = met.groupBy("run").agg(F.min(F.struct("ord", "rid", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
-    later = met.join(first, "run").where(F.struct("ord", "rid", "at") != F.col("first"))
-    return later.groupBy("rid").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    """(ord, rid, runs): for each document the repeated runs (at, n) of lines, in order."""
+    lines = F.split("text", "\n", -1)
+    long = F.filter(F.transform(lines, lambda x, i: F.when(F.length(x) >= LONG, i)), lambda i: i.isNotNull())
+    lined = docs.select("ord", "rid", F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), F.transform(lines, lambda x: F.xxhash64(x, F.lit(1))).alias("g"), long.alias("long"))
+    single = lined.select("ord", "rid", F.explode(F.transform("long", lambda i: F.struct(i.alias("at"), F.get("h", i).alias("fp"), F.get("g", i).alias("check")))).alias("x")).select("ord", "rid", "x.*", F.lit(None).cast("long").alias("before"), F.lit(None).cast("long").alias("after"))
+    every = single.withColumn("single", F.lit(True)).unionByName(_fingerprints(lined).withColumn("single", F.lit(False)))
+    often = every.groupBy("single", "fp", "check").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    met = written(every.join(often, ["single", "fp", "check"], "left_semi"))
+    grams = met.where(~F.col("single"))
+    back = _later(grams.where("before IS NOT NULL"), ["fp", "check", "before"]).select("ord", "rid", (F.col("at") - 1).alias("at"), F.lit(RUN).alias("n"))
+    forth = _later(grams.where("after IS NOT NULL"), ["fp", "check", "after"]).select("ord", "rid", "at", F.lit(RUN).alias("n"))
+    alone = _later(met.where("single"), ["fp", "check"]).select("ord", "rid", "at", F.lit(1).alias("n"))
+    found = back.unionByName(forth).unionByName(alone).groupBy("ord", "rid").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("runs"))
+    out = written(found)
+    drop_written(met)
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """`docs` with what is left of the text, and the columns memlake_n and memlake_kept: lines before and after."""
-    gone = repeated_lines(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("ord"), row_key().alias("rid"), "text"))
-    out = docs.withColumn("memlake_rid", row_key()).join(gone.select(F.col("rid").alias("memlake_rid"), F.col("at").alias("memlake_at")), "memlake_rid", "left")
-    lines, at, m = F.split("text", "\n", -1), F.col("memlake_at"), F.size("memlake_at")
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))
+    gone = repeated_lines(docs.select(order.alias("ord"), row_key().alias("rid"), "text"))
+    gone = gone.select(F.col("ord").alias("memlake_ord"), F.col("rid").alias("memlake_rid"), F.col("runs").alias("memlake_runs"))
+    out = docs.withColumns({"memlake_ord": order, "memlake_rid": row_key()}).join(gone, ["memlake_ord", "memlake_rid"], "left")
+    lines, runs, m = F.split("text", "\n", -1), F.col("memlake_runs"), F.size("memlake_runs")
 
     def piece(j: Column) -> Column:
-        """The lines between the runs that start at at[j - 1] and at[j]."""
-        begin, end = F.when(j == 0, 0).otherwise(F.get(at, j - 1) + RUN), F.when(j == m, F.size(lines)).otherwise(F.get(at, j))
+        """The lines between the runs j - 1 and j; runs are at most RUN lines long and sorted, so RUN of them reach back."""
+        ends = [F.when(j >= k, F.get(runs, j - k)["at"] + F.get(runs, j - k)["n"]).otherwise(0) for k in range(1, 2 * RUN + 1)]
+        begin, end = F.greatest(*ends), F.when(j == m, F.size(lines)).otherwise(F.get(runs, j)["at"])
         return F.slice(lines, begin + 1, F.greatest(end - begin, F.lit(0)))
 
     out = out.withColumns({"memlake_n": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), "memlake_left": F.flatten(F.transform(F.sequence(F.lit(0), m), piece))})
-    kept = F.when(at.isNull(), F.col("memlake_n")).otherwise(F.size("memlake_left"))
-    return out.withColumns({"memlake_kept": kept, "text": F.when(at.isNull(), F.col("text")).otherwise(F.array_join("memlake_left", "\n"))}).drop("memlake_rid", "memlake_at", "memlake_left")
+    kept = F.when(runs.isNull(), F.col("memlake_n")).otherwise(F.size("memlake_left"))
+    return out.withColumns({"memlake_kept": kept, "text": F.when(runs.isNull(), F.col("text")).otherwise(F.array_join("memlake_left", "\n"))}).drop("memlake_ord", "memlake_rid", "memlake_runs", "memlake_left")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +109,7 @@ WITH l AS (
   SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM r WHERE run IS NOT NULL
 ), gone AS (
   SELECT DISTINCT doc_id, i + d AS i FROM f, (SELECT unnest(range(0, {RUN})) AS d) WHERE k > 1
+  UNION SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k FROM l WHERE length(line) >= {LONG}) WHERE k > 1
 ), kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL) AS kept
   FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id
