@@ -1,18 +1,21 @@
 """Suffix-array dedup: removes every byte covered by a string of LENGTH bytes that also starts earlier.
 
-1. Each window of LENGTH bytes has an anchor: the least hash among its GRAM-byte grams (winnowing), which equal windows
-   share.  A unit is a run of windows of one anchor value.  Only units whose anchor occurs more than once go on, and of
-   units of equal bytes (a variant) only the first occurrence: all windows of the others are repeats.
-2. First occurrences of anchors with several variants, or of units that may repeat within themselves, go to shards of
-   bounded size by anchor.  A shard builds a suffix array by Larsson-Sadakane refinement (4 bytes first, then doubling,
-   sorting only groups not yet told apart) and Kasai's common prefixes, advanced over many lanes at once; windows after
-   the first of a group with a common prefix of LENGTH are repeats.
-3. An anchor of more bytes than a shard is cut into blocks with an array each; each pair of blocks is merged by binary
-   search of one's windows in the other's.
+1. Documents are laid end to end into shards of SHARD bytes.  Each has a suffix array by Larsson-Sadakane refinement (7
+   bytes first, then doubling, sorting only groups not yet told apart) and Kasai's common prefixes along the text, over
+   many stretches side by side.  Windows of LENGTH bytes after the first of a group with a common prefix of LENGTH are
+   repeats within the shard.
+2. Across shards only first windows can meet.  Each has an anchor: the least hash among its GRAM-byte grams (winnowing),
+   which equal windows share.  A unit is a run of first windows of one anchor.  Units whose anchor is in one shard only
+   end here; of units of equal bytes (a variant) the first stays, all windows of the others are repeats.
+3. First units of anchors with several variants are merged: groups of bounded size by anchor, whose windows one array
+   puts in order; an anchor of more bytes than a shard is cut into blocks with an array each, and each pair of blocks is
+   merged by binary search of one's windows in the other's.
 
 "Earlier" is a smaller doc_id (null before all), or in one document an earlier start; different texts of one doc_id
 are ordered by a hash, rows equal in both are one document and treated alike.  Strings are judged on the input, so
-overlaps count; matches never cross documents.  Null text is empty; texts under LENGTH bytes keep everything.
+overlaps count; matches never cross documents.  Null text is empty; texts under LENGTH bytes keep everything.  Texts
+longer than a shard are cut into pieces that overlap by LENGTH - 1 bytes, so no window is lost and none is twice in one.
+Equal bytes are told by the arrays, or for whole units by 128 bits of a hash.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import only_keys, row_key, table, utf8, written
+from memlake.llm.common import drop_written, only_keys, raw_texts, row_key, table, unique_rows, written
 from memlake.llm.neardup import mixed
 
 LENGTH, GRAM = 100, 24  # GRAM: a multiple of 8
 SHARD = 1 << 20  # bytes
+FIRST = 7  # bytes of the first sort
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,167 +46,203 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (width - w)], m[width - w :]) if w < width else m
 
 
-def units(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each unit of a text of LENGTH bytes or more: anchor, first window, number of windows, and whether its bytes
-    have the anchor more than once (else no two of its windows are equal)."""
-    words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+def anchors(raw: np.ndarray) -> np.ndarray:
+    """The anchor of each window of LENGTH bytes."""
+    words = np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), strides=(1,))
     n, grams = len(raw) - GRAM + 1, np.uint64(GRAM)
     for k in range(0, GRAM, 8):
         grams = (grams ^ words[k : k + n]) * _A
         grams ^= grams >> np.uint64(29)
-    grams = mixed(grams)
-    width = LENGTH - GRAM + 1
-    least = sliding_min(grams, width)
-    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    counts = np.diff(np.append(starts, len(least)))
-    anchors = least[starts]
-    edge = np.full(width - 1, ~np.uint64(0))
-    at = np.flatnonzero(grams == ~sliding_min(np.concatenate([edge, ~least, edge]), width))  # grams that are some window's least
-    order = np.argsort(grams[at], kind="stable")
-    values, places = grams[at][order], at[order]
-    first = np.searchsorted(values, anchors, "left")
-    last = np.searchsorted(values, anchors, "right")
-    several = np.zeros(len(starts), bool)
-    for i in np.flatnonzero(last - first > 1):
-        here = places[first[i] : last[i]]
-        several[i] = ((here >= starts[i]) & (here < starts[i] + counts[i] + width - 1)).sum() > 1
-    return anchors, starts, counts, several
-
-
-def _units(batches):
-    """(ord, rid, text) to a row for each unit."""
-    for b in batches:
-        out = [[] for _ in range(7)]
-        for order, rid, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            raw = utf8(text)
-            if len(raw) < LENGTH:
-                continue
-            anchors, starts, counts, several = units(raw)
-            view = memoryview(raw)
-            same = [xxhash.xxh3_64_intdigest(view[s : s + c + LENGTH - 1]) for s, c in zip(starts.tolist(), counts.tolist(), strict=True)]
-            for column, values in zip(out, (anchors.view(np.int64), np.array(same, np.uint64).view(np.int64), np.full(len(starts), order), np.full(len(starts), rid), starts.astype(np.int32), counts.astype(np.int32), several), strict=True):
-                column.append(values)
-            if sum(map(len, out[0])) > 200_000:
-                yield _unit_batch(out)
-                out = [[] for _ in range(7)]
-        yield _unit_batch(out)
-
-
-def _unit_batch(columns) -> pa.RecordBatch:
-    kinds = [np.int64] * 4 + [np.int32] * 2 + [bool]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, k)) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "variant", "ord", "rid", "start", "count", "several"])
-
+    return sliding_min(mixed(grams), LENGTH - GRAM + 1)
 
-UNIT = "anchor long, variant long, ord long, rid long, start int, count int, several boolean"
 
-
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of an int16 text in order: by 4 symbols, then by twice as many in each round over what is still tied."""
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of bytes in order, and which places of that order were tied at half of LENGTH."""
     n = len(text)
-    padded = np.concatenate([text.astype(np.uint64) + 1, np.zeros(4, np.uint64)])
     key = np.zeros(n, np.uint64)
-    for k in range(4):
-        key = key * np.uint64(512) + padded[k : k + n]
-    sa = np.argsort(key, kind="stable")
-    head = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
-    h = 4
+    padded = np.zeros(n + FIRST, np.uint64)
+    padded[:n] = text
+    padded[:n] += np.uint64(1)
+    for k in range(FIRST):
+        key = (key << np.uint64(9)) | padded[k : k + n]
+    sa = np.argsort(key)
+    key = key[sa]
+    head = np.ones(n, bool)
+    np.not_equal(key[1:], key[:-1], out=head[1:])
+    first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[sa] = first
+    h, tied = FIRST, np.zeros(n, bool)
     while True:
-        first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        rank = np.empty(n + h, np.int64)
-        rank[sa] = first
-        rank[n:] = -1
-        ends = np.append(head[1:], True)
-        open_at = np.flatnonzero(~(head & ends))  # places in groups of more than one
+        open_at = np.flatnonzero(~(head & np.append(head[1:], True)))  # places in groups of more than one
+        if h <= LENGTH // 2 + FIRST:
+            tied = np.zeros(n, bool)
+            tied[open_at] = True
         if not len(open_at):
-            return sa
+            return sa, tied
         who = sa[open_at]
-        order = np.lexsort((rank[who + h], first[open_at]))
-        who = who[order]
+        then = np.where(who + h < n, rank[np.minimum(who + h, n - 1)] + 1, 0)
+        key = (first[open_at].astype(np.uint64) << np.uint64(32)) | then.astype(np.uint64)
+        order = np.argsort(key)
+        key, who = key[order], who[order]
         sa[open_at] = who
-        here, then = first[open_at], rank[who + h]
-        head[open_at[1:]] |= (here[1:] != here[:-1]) | (then[1:] != then[:-1])
+        new = np.ones(len(who), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        head[open_at] |= new
+        first[open_at] = rank[who] = np.maximum.accumulate(np.where(new, open_at, 0))
         h *= 2
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int = LENGTH) -> np.ndarray:
-    """Kasai: lcp[i] of suffixes sa[i - 1] and sa[i], up to `most`; stretches of the text advance side by side."""
-    n = len(text)
-    before = np.empty(n, np.int64)
-    before[sa[1:]] = sa[:-1]
-    before[sa[0]] = n
-    padded = np.concatenate([text, np.full(most + 1, -1, text.dtype)])
-    lcp, step = np.zeros(n, np.int32), 64
-    lanes = np.arange(0, n, step)
+def common_prefixes(text: np.ndarray, sa: np.ndarray, wanted: np.ndarray, most: int = LENGTH) -> np.ndarray:
+    """Kasai: of suffixes sa[i - 1] and sa[i] for each place i in `wanted` (else 0), up to `most`.
+
+    Stretches of neighbouring text positions go side by side; within one each position starts from the last one's
+    prefix less one.
+    """
+    n, step = len(text), 64
+    place, before = np.flatnonzero(wanted), np.full(n, -1, np.int64)
+    place = place[place > 0]
+    before[sa[place]] = sa[place - 1]
+    at = np.sort(sa[place])
+    lcp = np.zeros(n, np.int32)
+    if not len(at):
+        return lcp[sa]
+    runs = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+    sizes = np.diff(np.append(runs, len(at)))
+    parts = -(-sizes // step)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    lanes, left = np.repeat(at[runs], parts) + nth * step, np.minimum(np.repeat(sizes, parts) - nth * step, step)
+    by_size = np.argsort(-left, kind="stable")
+    lanes, left = lanes[by_size], left[by_size]
+    padded = np.concatenate([text.astype(np.int16), np.full(most + 1, -1, np.int16)])
     h = np.zeros(len(lanes), np.int64)
-    for j in range(step):
-        at = lanes + j
-        live = np.flatnonzero(at < n)
-        h = np.maximum(h - 1, 0)
-        go = live[before[at[live]] < n]
-        h[live[before[at[live]] >= n]] = 0
+    for j in range(int(left[0])):
+        live = int(np.searchsorted(-left, -j, "left"))  # lanes of more than j positions
+        p = lanes[:live] + j
+        q = before[p]
+        h = np.maximum(h[:live] - 1, 0)
+        go = np.arange(live)
         while len(go):
-            p = at[go]
-            q = before[p]
-            go = go[(h[go] < most) & (padded[p + h[go]] == padded[np.minimum(q + h[go], n)]) & (q + h[go] < n) & (p + h[go] < n)]
+            x, y = p[go] + h[go], q[go] + h[go]
+            go = go[(h[go] < most) & (x < n) & (y < n) & (padded[np.minimum(x, n)] == padded[np.minimum(y, n)])]
             h[go] += 1
-        lcp[at[live]] = h[live]
+        lcp[p] = h
     return lcp[sa]
 
 
 class Shard:
-    """Units laid end to end in their order, with a symbol of no byte after each."""
-
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.drop_duplicates(["rid", "start"]).sort_values(["ord", "rid", "start"], kind="stable")
-        raw = rows["bytes"].to_list()
-        sizes = np.array([len(x) + 1 for x in raw])
-        self.ends = np.cumsum(sizes)
-        self.begins = self.ends - sizes
-        self.ord, self.rid, self.start, self.count = (rows[x].to_numpy() for x in ("ord", "rid", "start", "count"))
-        self.text = np.frombuffer(b"\0".join([*raw, b""]), np.uint8).astype(np.int16)
-        self.text[self.ends - 1] = 256
-        self.unit = np.repeat(np.arange(len(raw)), sizes)
-        offset = np.arange(len(self.text)) - self.begins[self.unit]
-        self.window = offset < self.count[self.unit]
+    """Pieces of texts end to end in their order: row i begins at begins[i] and has windows at its first count[i] bytes."""
+
+    def __init__(self, raw: list[bytes], order: np.ndarray, rid: np.ndarray, start: np.ndarray, count: np.ndarray):
+        sizes = np.array([len(x) for x in raw], np.int64)
+        self.begins = np.cumsum(sizes) - sizes
+        self.ord, self.rid, self.start, self.count = order, rid, start, count
+        self.text = np.frombuffer(b"".join(raw), np.uint8)
+        self.row = np.repeat(np.arange(len(raw)), sizes)
+        self.window = np.arange(len(self.text)) - self.begins[self.row] < count[self.row]
 
     def groups(self) -> tuple[np.ndarray, np.ndarray]:
         """Windows in the order of the suffix array, and which of them begin a group of equal ones."""
-        sa = suffix_array(self.text)
-        lcp = common_prefixes(self.text, sa)
-        group = np.cumsum(lcp < LENGTH)
+        if not len(self.text):
+            return np.zeros(0, np.int64), np.zeros(0, bool)
+        sa, tied = suffix_array(self.text)
+        group = np.cumsum(common_prefixes(self.text, sa, tied) < LENGTH)
         keep = self.window[sa]
         sa, group = sa[keep], group[keep]
         return sa, np.concatenate([[True], group[1:] != group[:-1]]) if len(sa) else np.zeros(0, bool)
 
-    def places(self, at: np.ndarray) -> pd.DataFrame:
-        """Runs of windows (positions in `text`, in any order) as (rid, start, count)."""
-        at = np.sort(at)
-        new = np.concatenate([[True], np.diff(at) != 1]) if len(at) else np.zeros(0, bool)
-        first = at[new]
-        unit = self.unit[first]
-        return pd.DataFrame({"rid": self.rid[unit], "start": self.start[unit] + first - self.begins[unit], "count": np.diff(np.append(np.flatnonzero(new), len(at)))})
+    def repeats(self) -> np.ndarray:
+        """For each byte whether it begins a window that also begins earlier."""
+        out = np.zeros(len(self.text), bool)
+        sa, head = self.groups()
+        several = ~(head & np.append(head[1:], True)) if len(head) else head
+        sa, head = sa[several], head[several]
+        if len(sa):
+            out[sa] = True
+            out[np.minimum.reduceat(sa, np.flatnonzero(head))] = False
+        return out
+
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Runs of windows (positions in `text`, in order) as ord, rid, start and count."""
+        row = self.row[at]
+        new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(row) != 0)]) if len(at) else np.zeros(0, bool)
+        first, row = at[new], row[new]
+        return self.ord[row], self.rid[row], (self.start[row] + first - self.begins[row]).astype(np.int32), np.diff(np.append(np.flatnonzero(new), len(at))).astype(np.int32)
 
     def order_of(self, at: np.ndarray) -> list[tuple]:
-        unit = self.unit[at]
-        return list(zip(self.ord[unit].tolist(), self.rid[unit].tolist(), (self.start[unit] + at - self.begins[unit]).tolist(), strict=True))
+        row = self.row[at]
+        return list(zip(self.ord[row].tolist(), self.rid[row].tolist(), (self.start[row] + at - self.begins[row]).tolist(), strict=True))
 
 
-def within(shard: Shard) -> pd.DataFrame:
-    sa, head = shard.groups()
-    least = np.minimum.reduceat(sa, np.flatnonzero(head)) if len(sa) else sa
-    return shard.places(sa[sa != least[np.cumsum(head) - 1]])
+# -- 1, 2: shards of documents
 
+RUN = "ord long, rid long, start int, count int"
+UNIT = f"anchor long, variant long, check long, shard long, {RUN}"
 
-def between(left: Shard, right: Shard) -> pd.DataFrame:
+
+def _laid(batches, shard: int):
+    """(ord, rid, text) to lists of pieces (ord, rid, start, bytes) of together about `shard` bytes."""
+    held, size = [], 0
+    for b in batches:
+        for order, rid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_texts(b.column(2)), strict=True):
+            for start in range(0, len(raw) - LENGTH + 1, shard):
+                part = raw[start : start + shard + LENGTH - 1]
+                if size and size + len(part) > shard:
+                    yield held
+                    held, size = [], 0
+                held.append((order, rid, start, part))
+                size += len(part)
+    if held:
+        yield held
+
+
+def _arrays(shard: int):
+    """Rows of UNIT: units of first windows, and, without an anchor, the repeats within a shard."""
+
+    def run(batches):
+        partition = TaskContext.get().partitionId() if TaskContext.get() else 0
+        for k, held in enumerate(_laid(batches, shard)):
+            held.sort(key=lambda x: x[:3])
+            order, rid, start, raw = zip(*held, strict=True)
+            s = Shard(list(raw), np.array(order, np.int64), np.array(rid, np.int64), np.array(start, np.int64), np.array([len(x) - LENGTH + 1 for x in raw]))
+            again = s.repeats()
+            found = s.places(np.flatnonzero(again))
+            anchor = np.zeros(len(s.text), np.uint64)
+            for begin, x in zip(s.begins.tolist(), raw, strict=True):
+                anchor[begin : begin + len(x) - LENGTH + 1] = anchors(np.frombuffer(x, np.uint8))
+            first = np.flatnonzero(s.window & ~again)
+            new = np.concatenate([[True], (np.diff(first) != 1) | (np.diff(s.row[first]) != 0) | (anchor[first][1:] != anchor[first][:-1])]) if len(first) else np.zeros(0, bool)
+            begins, counts = first[new], np.diff(np.append(np.flatnonzero(new), len(first)))
+            row, view = s.row[begins], memoryview(s.text)
+            same = np.array([divmod(xxhash.xxh3_128_intdigest(view[a : a + c + LENGTH - 1]), 1 << 64) for a, c in zip(begins.tolist(), counts.tolist(), strict=True)], np.uint64).reshape(-1, 2)
+            n, m = len(begins), len(found[0])
+            nulls = lambda x: pa.concat_arrays([pa.array(x), pa.nulls(m, pa.int64())])
+            own = (s.ord[row], s.rid[row], (s.start[row] + begins - s.begins[row]).astype(np.int32), counts.astype(np.int32))
+            columns = [nulls(anchor[begins].view(np.int64)), nulls(same[:, 0].view(np.int64) if n else np.zeros(0, np.int64)), nulls(same[:, 1].copy().view(np.int64) if n else np.zeros(0, np.int64)), pa.array(np.full(n + m, (partition << 32) + k))]
+            columns += [pa.array(np.concatenate([a, b])) for a, b in zip(own, found, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "variant", "check", "shard", "ord", "rid", "start", "count"])
+
+    return run
+
+
+# -- 3: merging
+
+
+def _shard_of(rows: pd.DataFrame) -> Shard:
+    rows = rows.drop_duplicates(["ord", "rid", "start"]).sort_values(["ord", "rid", "start"], kind="stable")
+    return Shard(rows["bytes"].to_list(), *(rows[x].to_numpy(np.int64) for x in ("ord", "rid", "start", "count")))
+
+
+def between(left: Shard, right: Shard) -> list[tuple]:
     """Windows of the one that equal an earlier one of the other: groups of `right`, by binary search among `left`'s.
 
-    Later windows on the side of the first one are repeats within that side, which `within` finds.
+    Later windows on the side of the first one are repeats within that side, which its own array finds.
     """
     sides = []
     for s in (left, right):
         sa, head = s.groups()
         heads = np.flatnonzero(head)
-        texts = np.ascontiguousarray(s.text[sa[heads][:, None] + np.arange(LENGTH)].astype(np.uint8)).view(f"S{LENGTH}").ravel()
+        texts = np.ascontiguousarray(s.text[sa[heads][:, None] + np.arange(LENGTH)]).view(f"S{LENGTH}").ravel()
         sides.append((s, sa, heads, np.diff(np.append(heads, len(sa))), texts, np.minimum.reduceat(sa, heads) if len(sa) else sa))
     (a, sa, ha, ca, ta, la), (b, sb, hb, cb, tb, lb) = sides
     at = np.minimum(np.searchsorted(ta, tb), max(len(ta) - 1, 0))
@@ -210,55 +251,58 @@ def between(left: Shard, right: Shard) -> pd.DataFrame:
         i = at[j]
         (x,), (y,) = a.order_of(la[[i]]), b.order_of(lb[[j]])
         late, sx, lo, n, first = (b, sb, hb[j], cb[j], x) if x < y else (a, sa, ha[i], ca[i], y)
-        members = sx[lo : lo + n]
+        members = np.sort(sx[lo : lo + n])
         out.append(late.places(members[[o > first for o in late.order_of(members)]]))
-    return pd.concat(out) if out else pd.DataFrame({"rid": [], "start": [], "count": []}, dtype="int64")
+    return out
 
 
-def _shard(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.copy()
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
     if low == high:
-        found = within(Shard(rows))
+        s = _shard_of(rows)
+        found = [s.places(np.flatnonzero(s.repeats()))]
     else:
-        found = between(Shard(rows[rows["block"] == low]), Shard(rows[rows["block"] == high]))
-    return found.astype({"rid": "int64", "start": "int32", "count": "int32"})
+        found = between(_shard_of(rows[rows["block"] == low]), _shard_of(rows[rows["block"] == high]))
+    columns = zip(*found, strict=True) if found else ([np.zeros(0, np.int64)],) * 4
+    made = pd.DataFrame(dict(zip(("ord", "rid", "start", "count"), map(np.concatenate, columns), strict=True)))
+    return made.astype({"ord": "int64", "rid": "int64", "start": "int32", "count": "int32"})
 
 
 def _cut(batches):
     """(ord, rid, text, wanted units) to a row for each unit with its bytes."""
     for b in batches:
-        for order, rid, text, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            raw = utf8(text)
+        for order, rid, raw, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_texts(b.column(2)), b.column(3).to_pylist(), strict=True):
             rows = [(u["anchor"], order, rid, u["start"], u["count"], raw[u["start"] : u["start"] + u["count"] + LENGTH - 1]) for u in wanted]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "ord", "rid", "start", "count", "bytes"])
 
 
 def repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(rid, start, count) of runs of windows that start earlier too; `docs` has (ord, rid, text)."""
-    made = docs.select("ord", "rid", "text").mapInArrow(_units, UNIT)
-    again = made.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    met = written(made.join(again.withColumn("again", F.lit(True)), "anchor", "left").where(F.col("again") | F.col("several")).drop("again"))
-    variants = written(met.groupBy("anchor", "variant").agg(F.min(F.struct("ord", "rid", "start")).alias("first"), F.max("count").alias("count"), F.max("several").alias("several")))
-    first = variants.select("anchor", "variant", "first")
-    later = met.join(first, ["anchor", "variant"]).where(F.struct("ord", "rid", "start") != F.col("first")).select("rid", "start", "count")
-    contested = variants.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1").select("anchor", F.lit(True).alias("contested"))
-    hard = variants.join(contested, "anchor", "left").where(F.col("contested") | F.col("several"))
-    hard = written(hard.select("anchor", "first.ord", "first.rid", "first.start", "count"))
-    by_doc = hard.groupBy("rid").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("wanted"))
-    cut = written(only_keys(docs.select("ord", "rid", "text"), hard, "rid").join(by_doc, "rid").select("ord", "rid", "text", "wanted").mapInArrow(_cut, "anchor long, ord long, rid long, start int, count int, bytes binary"))
-    sizes = cut.groupBy("anchor").agg(F.sum(F.octet_length("bytes") + 1).alias("size"))
+    """(ord, rid, start, count) of runs of windows that start earlier too; `docs` has (ord, rid, text), rows all different."""
+    made = written(docs.select("ord", "rid", "text").mapInArrow(_arrays(shard), UNIT))
+    inside = made.where("anchor IS NULL").select("ord", "rid", "start", "count")
+    again = made.where("anchor IS NOT NULL").groupBy("anchor").agg(F.min("shard").alias("x"), F.max("shard").alias("y")).where("x < y").select("anchor")
+    met = written(made.join(again, "anchor", "left_semi").drop("shard"))
+    variants = written(met.groupBy("anchor", "variant", "check").agg(F.min(F.struct("ord", "rid", "start")).alias("first"), F.max("count").alias("count"), F.count("*").alias("n")))
+    first = variants.where("n > 1").select("anchor", "variant", "check", "first")
+    later = met.join(first, ["anchor", "variant", "check"]).where(F.struct("ord", "rid", "start") != F.col("first")).select("ord", "rid", "start", "count")
+    contested = variants.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1").select("anchor")
+    hard = written(variants.join(contested, "anchor", "left_semi").select("anchor", "first.ord", "first.rid", "first.start", "count"))
+    by_doc = hard.groupBy("ord", "rid").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("wanted"))
+    cut = written(only_keys(docs.select("ord", "rid", "text"), hard, "rid").join(by_doc, ["ord", "rid"]).select("ord", "rid", "text", "wanted").mapInArrow(_cut, f"anchor long, {RUN}, bytes binary"))
+    sizes = cut.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     shards = max(1, 2 * total // shard)
     sized = cut.join(sizes, "anchor")
     blocks = F.ceil(F.col("size") / shard).cast("int")
     small = sized.where(F.col("size") <= shard).select("ord", "rid", "start", "count", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("key"), *(F.lit(0).alias(x) for x in ("block", "low", "high")))
-    big = sized.where(F.col("size") > shard).withColumn("block", F.pmod(F.xxhash64("rid", "start"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    big = sized.where(F.col("size") > shard).withColumn("block", F.pmod(F.xxhash64("ord", "rid", "start"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     big = big.select("ord", "rid", "start", "count", "bytes", F.col("anchor").alias("key"), "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     kinds = [df.withColumn("kind", F.lit(i)) for i, df in enumerate((small, big))]
-    found = kinds[0].unionByName(kinds[1]).groupBy("kind", "key", "low", "high").applyInPandas(_shard, "rid long, start int, count int")
-    return later.unionByName(found)
+    merged = kinds[0].unionByName(kinds[1]).groupBy("kind", "key", "low", "high").applyInPandas(_merge, RUN)
+    found = written(inside.unionByName(later).unionByName(merged))
+    drop_written(made, met, variants, hard, cut)
+    return found
 
 
 def kept_spans(n: int, runs: list, length: int = LENGTH) -> tuple[list[tuple[int, int]], int]:
@@ -278,10 +322,9 @@ def kept_spans(n: int, runs: list, length: int = LENGTH) -> tuple[list[tuple[int
 
 def _digest(batches):
     for b in batches:
-        ids, texts, runs = (b.column(i) for i in range(3))
+        ids, runs = b.column(0), b.column(2)
         rows = []
-        for text, found in zip(texts.to_pylist(), runs.to_pylist(), strict=True):
-            raw = utf8(text)
+        for raw, found in zip(raw_texts(b.column(1)), runs.to_pylist(), strict=True):
             kept, removed = kept_spans(len(raw), [(r["start"], r["count"]) for r in found or []])
             left = b"".join(raw[s:e] for s, e in kept)
             rows.append((len(raw), len(raw) - len(left), removed, hashlib.sha256(left).hexdigest()))
@@ -296,10 +339,25 @@ def keyed(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """(doc_id, text, runs): each document with the runs of windows to remove, for `kept_spans`."""
     docs = keyed(docs.select("doc_id", "text"))
-    runs = repeats(docs, shard).groupBy("rid").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
-    return docs.join(runs, "rid", "left").select("doc_id", "text", "runs")
+    runs = repeats(unique_rows(docs.select("ord", "rid", "text"), "ord", "rid"), shard).groupBy("ord", "rid").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    return docs.join(runs, ["ord", "rid"], "left").select("doc_id", "text", "runs")
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return deduplicated(docs).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d)),
+f AS (SELECT x, min((doc_id, i)) AS first FROM w GROUP BY x HAVING count(*) > 1),
+g AS (SELECT doc_id, i FROM w JOIN f USING (x) WHERE (doc_id, i) <> first),
+n AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 1 ELSE 0 END AS fresh FROM g),
+s AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n) GROUP BY doc_id, k),
+e AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS gone FROM s GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(len(a), 0) AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda k:
+    substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE b[k] END) + 1, 2 * ((CASE WHEN k = len(a) THEN length(h) // 2 ELSE a[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE b[k] END)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN e USING (doc_id)
+"""
