@@ -266,7 +266,7 @@ def test_bpe(spark):
     for t in texts:
         ids = codec.encode(t)
         if len(t) < 200_000:
-            assert ids == codec._ordinary(t)
+            assert ids.tolist() == codec._ordinary(t)
         assert codec.decode(ids) == t.encode()
     assert tiktoken.__version__
     df = table(spark, ODD).withColumn("ids", F.lit("clash"))
@@ -276,6 +276,16 @@ def test_bpe(spark):
     back = bpe.decode(bpe.encode(df, path, pattern), path, pattern).collect()
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in back)
     assert bpe.digests(table(spark, []), path, pattern).isEmpty()
+    bad = spark.sql("SELECT 1L AS doc_id, cast(X'61FF62' AS string) AS text")  # not UTF-8
+    assert bpe.digests(bad, path, pattern).first()["decoded_sha256"] == sha("a\ufffdb".encode())
+
+
+def test_bpe_emits_bounded_batches(monkeypatch, spark):
+    path, pattern = bpe.default_ranks()
+    monkeypatch.setattr(bpe, "HELD", 50)
+    rows = [(i, "some words of a text " * (i % 7)) for i in range(40)] + [(99, None)]
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(table(spark, rows), path, pattern).collect()}
+    assert got == {i: bpe.codec(path, pattern).encode(t or "").tolist() for i, t in rows}
 
 
 # -- 6
@@ -294,6 +304,10 @@ def brute_lines(rows):
             run = tuple(found[j : j + lines.RUN])
             gone |= set(range(j, j + lines.RUN)) if run in seen else set()
             seen.add(run)
+        for j, x in enumerate(found):
+            if len(x) >= lines.LONG:
+                gone |= {j} if x in seen else set()
+                seen.add(x)
         out.append((i, "\n".join(x for j, x in enumerate(found) if j not in gone)))
     return sorted(out, key=repr)
 
@@ -301,6 +315,8 @@ def brute_lines(rows):
 def test_line_dedup(spark):
     rng = random.Random(6)
     rows = [(i, "\n".join(rng.choice("abcde") for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(70, None), (71, ""), (72, "x\n" * 400), (73, "x\n" * 400)]
+    long = ["".join(rng.choice("abc ") for _ in range(n)) for n in (lines.LONG - 1, lines.LONG, 300)]
+    rows += [(80 + i, "\n".join(rng.choice([*long, "a", "b"]) for _ in range(rng.randint(1, 4)))) for i in range(15)]
     df = table(spark, rows).withColumns({"at": F.lit(1), "run": F.lit(1), "n_chars": F.length("text").cast("long")})
     got = lines.deduplicated(df)
     assert rows_of(got.select("doc_id", "text")) == brute_lines(rows)
@@ -311,6 +327,22 @@ def test_line_dedup(spark):
     assert lines.deduplicated(df.limit(0)).isEmpty()
 
 
+def test_only_window_minima_are_kept(spark):
+    """Fewer fingerprints than grams, one of every two neighbouring grams at least, and matches extended both ways."""
+    rng = random.Random(13)
+    rows = [(i, "\n".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(40))) for i in range(20)]
+    split = F.split("text", "\n", -1)
+    lined = table(spark, rows).select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("rid"), F.transform(split, lambda x: F.xxhash64(x)).alias("h"), F.transform(split, lambda x: F.xxhash64(x, F.lit(1))).alias("g"))
+    at = defaultdict(set)
+    for r in lines._fingerprints(lined).collect():
+        at[r["ord"]].add(r["at"])
+    assert sum(map(len, at.values())) < 0.8 * 20 * 39
+    assert all(j in x or j + 1 in x for x in at.values() for j in range(38))
+    block = [f"line {i}" for i in range(9)]
+    docs = [(1, "\n".join(["p", *block, "q"])), (2, "\n".join(["r", *block[:5], "s"])), (3, "\n".join(["t", *block[4:], "u"]))]
+    assert {r["doc_id"]: r["text"] for r in lines.deduplicated(table(spark, docs)).collect()} == {1: docs[0][1], 2: "r\ns", 3: "t\nu"}
+
+
 # -- 7
 
 
@@ -347,7 +379,7 @@ def byte_rows():
 def test_suffix_arrays(spark, shard):
     rows = byte_rows()
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    df = table(spark, rows).withColumns({"rid": F.lit(1), "anchor": F.lit(1)})
+    df = table(spark, rows).withColumns({"rid": F.lit(1), "anchor": F.lit(1)}).repartition(5)
     assert rows_of(suffix.deduplicated(df, shard).mapInArrow(suffix._digest, schema)) == brute_bytes(rows)
     if shard == suffix.SHARD:
         assert suffix.deduplicated(df.limit(0)).isEmpty()
@@ -357,14 +389,31 @@ def test_suffix_arrays(spark, shard):
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(1)
     for n in (1, 2, 50, 300):
-        text = rng.integers(0, 3, n).astype(np.int16)
-        sa = suffix.suffix_array(text)
-        raw = text.tolist()
-        assert sa.tolist() == sorted(range(n), key=lambda i: raw[i:])
-        lcp = suffix.common_prefixes(text, sa)
-        for i in range(1, n):
-            a, b = raw[sa[i - 1] :], raw[sa[i] :]
-            assert lcp[i] == min(suffix.LENGTH, next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+        for text in (rng.integers(0, 3, n).astype(np.uint8), np.zeros(n, np.uint8)):
+            sa, tied = suffix.suffix_array(text)
+            raw = text.tolist()
+            assert sa.tolist() == sorted(range(n), key=lambda i: raw[i:])
+            for wanted in (np.ones(n, bool), tied):
+                lcp = suffix.common_prefixes(text, sa, wanted)
+                for i in range(1, n):
+                    a, b = raw[sa[i - 1] :], raw[sa[i] :]
+                    true = min(suffix.LENGTH, next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+                    assert lcp[i] == (true if wanted[i] else 0)
+                    assert wanted[i] or true < suffix.LENGTH
+
+
+def test_repeats_across_shards(spark):
+    """Each document is a shard of its own, so that only the merge can find what they share; equal rows cost one."""
+    rng = random.Random(14)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = letters(400)
+    rows = [(i, letters(150) + shared[i * 20 : i * 20 + 200] + letters(150)) for i in range(8)]
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    got = rows_of(suffix.deduplicated(table(spark, rows).repartition(8), 300).mapInArrow(suffix._digest, schema))
+    assert got == brute_bytes(rows) and sum(r[2] for r in got) > 1000
+    same = table(spark, [(1, shared)] + [(2, shared + "x")] * 300).repartition(4)
+    found = suffix.deduplicated(same).collect()
+    assert len(found) == 301 and max(len(r["runs"] or []) for r in found) < 20
 
 
 # -- 8
@@ -494,30 +543,43 @@ def test_shards(spark):
 # -- 10
 
 
+def brute_top(rows, every, k=5):
+    whole = [(i, topk.quantised([float(np.float32(x)) for x in v])) for i, v in rows]
+    out = []
+    for i, q in whole:
+        if i % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i)[:k]
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    return sorted(out, key=repr)
+
+
 @pytest.mark.parametrize("dim,n", [(1, 300), (3, 400), (8, 200)])
-def test_top_k(spark, dim, n):
+def test_top_k(spark, monkeypatch, dim, n):
     rng = np.random.default_rng(dim)
-    rows = [(int(i // 2), [float(x) for x in v], "clash") for i, v in enumerate(rng.normal(size=(n, dim)))]
-    bad = [(5, None, ""), (6, [], ""), (7, [float("nan")] * dim, ""), (8, [None] * dim, ""), (9, [float("inf")] * dim, ""), (None, [0.0] * dim, "")]
-    df = table(spark, rows + bad, "vec_id long, embedding array<float>, score string")
-    got = rows_of(topk.top_k(df, F.col("vec_id") % 10 == 0, 5))
-    whole = [(i, np.floor(np.float32(v).astype(float) * 256)) for i, v, _ in rows]
-    want = []
-    for i, q in whole:
-        if i % 10 == 0:
-            best = sorted((-int(q @ v), j) for j, v in whole if j != i)[:5]
-            want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
-    assert got == sorted(want, key=repr)
+    rows = [(int(i // 2), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(n, dim)))]
+    rows += [(6, []), (n + 1, [70000.0] * dim), (n + 2, [0.0] * dim), (n + 3, [1.5] * (dim + 2)), (20, [-3.0])]
+    bad = [(5, None), (7, [float("nan")] * dim), (8, [None] * dim), (9, [float("inf")] * dim), (None, [0.0] * dim)]
+    for block in (topk.BLOCK, 64):
+        monkeypatch.setattr(topk, "BLOCK", block)
+        df = table(spark, [(*r, "") for r in rows + bad], "vec_id long, embedding array<float>, score string")
+        assert rows_of(topk.top_k(df, F.col("vec_id") % 10 == 0, 5)) == brute_top(rows, 10)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0, 5).isEmpty()
 
 
-def test_lists_stop_early_and_right(monkeypatch):
-    monkeypatch.setattr(topk, "SHALLOW", 1.0)
+def test_bounds_end_the_reading():
+    """In few dimensions the threshold decides nearly every query, in many the rows run out; the answers are exact."""
     rng = np.random.default_rng(0)
-    x, ids = np.floor(rng.normal(size=(3000, 2)) * 50), np.arange(3000)
-    block = topk.Lists(ids, x)
-    found = [block.shallow(i, x[i], 5) for i in range(40)]
-    assert sum(f is not None for f in found) > 20
-    for i, f in enumerate(found):
-        if f is not None:
-            assert list(zip((-f[1]).tolist(), f[0].tolist())) == sorted((-float(x[i] @ v), j) for j, v in enumerate(x) if j != i)[:5]
+    for dim, least in ((2, 30), (16, 0)):
+        x = np.floor(rng.normal(size=(3000, dim)) * 50).astype(np.int64)
+        block = topk.Lists(np.arange(3000), list(x))
+        found = [block.top(i, x[i], 5) for i in range(40)]
+        assert sum(f[3] for f in found) >= least and all(f[2] < 3000 for f in found)
+        for i, f in enumerate(found):
+            assert list(zip([-s for s in f[1]], f[0])) == sorted((-int(x[i] @ v), j) for j, v in enumerate(x) if j != i)[:5]
+
+
+def test_scores_beyond_floats_are_exact():
+    vectors = [np.array(v, object) for v in ([1 << 40, 3], [(1 << 40) + 1, 3], [1 << 40, 2], [-(1 << 40), 0])]
+    assert topk.Lists(np.arange(4), vectors).top(9, np.array([1 << 40, 1], object), 4)[:2] == ([1, 0, 2, 3], [(1 << 80) + (1 << 40) + 3, (1 << 80) + 3, (1 << 80) + 2, -(1 << 80)])
+    assert topk.quantised([0.5, -0.001, 1e305]) == [128, -1, int(1e305) * 256]
+    assert topk.unpacked(topk.packed([1 << 70, -2])).tolist() == [1 << 70, -2]
