@@ -1,7 +1,7 @@
 """Suffix-array dedup: removes every byte covered by a string of LENGTH bytes that also starts earlier.
 
 1. Documents are laid end to end into shards of SHARD bytes.  Each has a suffix array by Larsson-Sadakane refinement (7
-   bytes first, then doubling, sorting only groups not yet told apart) and Kasai's common prefixes along the text, over
+   bytes or more first, then doubling, sorting only groups not yet told apart) and Kasai's common prefixes along the text, over
    many stretches side by side.  Windows of LENGTH bytes after the first of a group with a common prefix of LENGTH are
    repeats within the shard.
 2. Across shards only first windows can meet.  Each has an anchor: the least hash among its GRAM-byte grams (winnowing),
@@ -15,7 +15,7 @@
 are ordered by a hash, rows equal in both are one document and treated alike.  Strings are judged on the input, so
 overlaps count; matches never cross documents.  Null text is empty; texts under LENGTH bytes keep everything.  Texts
 longer than a shard are cut into pieces that overlap by LENGTH - 1 bytes, so no window is lost and none is twice in one.
-Equal bytes are told by the arrays, or for whole units by 128 bits of a hash.
+Equal bytes are told by the arrays, or for whole units of one anchor by 64 bits of another hash.
 """
 
 from __future__ import annotations
@@ -34,8 +34,7 @@ from memlake.llm.common import drop_written, only_keys, raw_texts, row_key, tabl
 from memlake.llm.neardup import mixed
 
 LENGTH, GRAM = 100, 24  # GRAM: a multiple of 8
-SHARD = 1 << 20  # bytes
-FIRST = 7  # bytes of the first sort
+SHARD = 1 << 19  # bytes
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,78 +55,80 @@ def anchors(raw: np.ndarray) -> np.ndarray:
     return sliding_min(mixed(grams), LENGTH - GRAM + 1)
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of bytes in order, and which places of that order were tied at half of LENGTH."""
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Suffixes of bytes in order; the places in it that share h bytes with a neighbour, whether with the one before, and
+    h, the depth of the last round within LENGTH.  The first sort takes as many bytes as their codes fit 63 bits."""
     n = len(text)
-    key = np.zeros(n, np.uint64)
-    padded = np.zeros(n + FIRST, np.uint64)
-    padded[:n] = text
-    padded[:n] += np.uint64(1)
-    for k in range(FIRST):
-        key = (key << np.uint64(9)) | padded[k : k + n]
+    code = np.cumsum(np.bincount(text, minlength=256) > 0).astype(np.uint64)
+    bits = int(code[-1]).bit_length()
+    h, key = 63 // bits, np.zeros(n, np.uint64)
+    padded = np.zeros(n + h, np.uint64)
+    padded[:n] = code[text]
+    for k in range(h):
+        key <<= np.uint64(bits)
+        key |= padded[k : k + n]
     sa = np.argsort(key)
     key = key[sa]
-    head = np.ones(n, bool)
-    np.not_equal(key[1:], key[:-1], out=head[1:])
-    first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    new = np.ones(n, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
     rank = np.empty(n, np.int64)
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[sa] = first
-    h, tied = FIRST, np.zeros(n, bool)
+    at = np.arange(n)
     while True:
-        open_at = np.flatnonzero(~(head & np.append(head[1:], True)))  # places in groups of more than one
-        if h <= LENGTH // 2 + FIRST:
-            tied = np.zeros(n, bool)
-            tied[open_at] = True
-        if not len(open_at):
-            return sa, tied
-        who = sa[open_at]
+        tied = ~(new & np.append(new[1:], True))  # places in groups of more than one
+        at, first, new = at[tied], first[tied], new[tied]
+        if h <= LENGTH:
+            half, again, known = at, ~new, h
+        if not len(at):
+            return sa, half, again, known
+        who = sa[at]
         then = np.where(who + h < n, rank[np.minimum(who + h, n - 1)] + 1, 0)
-        key = (first[open_at].astype(np.uint64) << np.uint64(32)) | then.astype(np.uint64)
+        key = (first.astype(np.uint64) << np.uint64(32)) | then.astype(np.uint64)
         order = np.argsort(key)
         key, who = key[order], who[order]
-        sa[open_at] = who
+        sa[at] = who
         new = np.ones(len(who), bool)
         np.not_equal(key[1:], key[:-1], out=new[1:])
-        head[open_at] |= new
-        first[open_at] = rank[who] = np.maximum.accumulate(np.where(new, open_at, 0))
+        first = np.maximum.accumulate(np.where(new, at, 0))
+        rank[who] = first
         h *= 2
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, wanted: np.ndarray, most: int = LENGTH) -> np.ndarray:
-    """Kasai: of suffixes sa[i - 1] and sa[i] for each place i in `wanted` (else 0), up to `most`.
+def common_prefixes(text: np.ndarray, sa: np.ndarray, places: np.ndarray, known: int = 0, most: int = LENGTH) -> np.ndarray:
+    """Kasai: the common prefix, up to `most`, of suffixes sa[i - 1] and sa[i] for each of the places, `known` or more.
 
     Stretches of neighbouring text positions go side by side; within one each position starts from the last one's
     prefix less one.
     """
-    n, step = len(text), 64
-    place, before = np.flatnonzero(wanted), np.full(n, -1, np.int64)
-    place = place[place > 0]
-    before[sa[place]] = sa[place - 1]
-    at = np.sort(sa[place])
-    lcp = np.zeros(n, np.int32)
-    if not len(at):
-        return lcp[sa]
-    runs = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
-    sizes = np.diff(np.append(runs, len(at)))
+    if not len(places):
+        return np.zeros(0, np.int64)
+    step, order = 64, np.argsort(sa[places])
+    p, q = sa[places][order], sa[places - 1][order]
+    runs = np.flatnonzero(np.concatenate([[True], np.diff(p) != 1]))
+    sizes = np.diff(np.append(runs, len(p)))
     parts = -(-sizes // step)
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    lanes, left = np.repeat(at[runs], parts) + nth * step, np.minimum(np.repeat(sizes, parts) - nth * step, step)
+    lanes, left = np.repeat(runs, parts) + nth * step, np.minimum(np.repeat(sizes, parts) - nth * step, step)
     by_size = np.argsort(-left, kind="stable")
     lanes, left = lanes[by_size], left[by_size]
+    # Of two positions the later one meets the end first, where no byte equals the symbol.
     padded = np.concatenate([text.astype(np.int16), np.full(most + 1, -1, np.int16)])
+    lcp = np.empty(len(p), np.int64)
     h = np.zeros(len(lanes), np.int64)
     for j in range(int(left[0])):
         live = int(np.searchsorted(-left, -j, "left"))  # lanes of more than j positions
-        p = lanes[:live] + j
-        q = before[p]
-        h = np.maximum(h[:live] - 1, 0)
+        at = lanes[:live] + j
+        x, y, h = p[at], q[at], np.maximum(h[:live] - 1, known)
         go = np.arange(live)
         while len(go):
-            x, y = p[go] + h[go], q[go] + h[go]
-            go = go[(h[go] < most) & (x < n) & (y < n) & (padded[np.minimum(x, n)] == padded[np.minimum(y, n)])]
+            u = h[go]
+            go = go[(u < most) & (padded[x[go] + u] == padded[y[go] + u])]
             h[go] += 1
-        lcp[p] = h
-    return lcp[sa]
+        lcp[at] = h
+    out = np.empty(len(p), np.int64)
+    out[order] = lcp
+    return out
 
 
 class Shard:
@@ -145,21 +146,26 @@ class Shard:
         """Windows in the order of the suffix array, and which of them begin a group of equal ones."""
         if not len(self.text):
             return np.zeros(0, np.int64), np.zeros(0, bool)
-        sa, tied = suffix_array(self.text)
-        group = np.cumsum(common_prefixes(self.text, sa, tied) < LENGTH)
+        sa, half, again, known = suffix_array(self.text)
+        head = np.ones(len(sa), bool)
+        head[half[again]] = common_prefixes(self.text, sa, half[again], known) < LENGTH
         keep = self.window[sa]
-        sa, group = sa[keep], group[keep]
-        return sa, np.concatenate([[True], group[1:] != group[:-1]]) if len(sa) else np.zeros(0, bool)
+        group = np.cumsum(head)[keep]
+        return sa[keep], np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
 
     def repeats(self) -> np.ndarray:
         """For each byte whether it begins a window that also begins earlier."""
         out = np.zeros(len(self.text), bool)
-        sa, head = self.groups()
-        several = ~(head & np.append(head[1:], True)) if len(head) else head
-        sa, head = sa[several], head[several]
-        if len(sa):
-            out[sa] = True
-            out[np.minimum.reduceat(sa, np.flatnonzero(head))] = False
+        if len(self.text):
+            sa, half, again, known = suffix_array(self.text)
+            head = ~again
+            head[again] = common_prefixes(self.text, sa, half[again], known) < LENGTH
+            at, group = sa[half], np.cumsum(head)
+            keep = self.window[at]
+            at, group = at[keep], group[keep]
+            if len(at):
+                out[at] = True
+                out[np.minimum.reduceat(at, np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])))] = False
         return out
 
     def places(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -177,7 +183,7 @@ class Shard:
 # -- 1, 2: shards of documents
 
 RUN = "ord long, rid long, start int, count int"
-UNIT = f"anchor long, variant long, check long, shard long, {RUN}"
+UNIT = f"anchor long, variant long, shard long, {RUN}"
 
 
 def _laid(batches, shard: int):
@@ -214,13 +220,13 @@ def _arrays(shard: int):
             new = np.concatenate([[True], (np.diff(first) != 1) | (np.diff(s.row[first]) != 0) | (anchor[first][1:] != anchor[first][:-1])]) if len(first) else np.zeros(0, bool)
             begins, counts = first[new], np.diff(np.append(np.flatnonzero(new), len(first)))
             row, view = s.row[begins], memoryview(s.text)
-            same = np.array([divmod(xxhash.xxh3_128_intdigest(view[a : a + c + LENGTH - 1]), 1 << 64) for a, c in zip(begins.tolist(), counts.tolist(), strict=True)], np.uint64).reshape(-1, 2)
+            same = np.array([xxhash.xxh3_64_intdigest(view[a : a + c + LENGTH - 1]) for a, c in zip(begins.tolist(), counts.tolist(), strict=True)], np.uint64)
             n, m = len(begins), len(found[0])
             nulls = lambda x: pa.concat_arrays([pa.array(x), pa.nulls(m, pa.int64())])
             own = (s.ord[row], s.rid[row], (s.start[row] + begins - s.begins[row]).astype(np.int32), counts.astype(np.int32))
-            columns = [nulls(anchor[begins].view(np.int64)), nulls(same[:, 0].view(np.int64) if n else np.zeros(0, np.int64)), nulls(same[:, 1].copy().view(np.int64) if n else np.zeros(0, np.int64)), pa.array(np.full(n + m, (partition << 32) + k))]
+            columns = [nulls(anchor[begins].view(np.int64)), nulls(same.view(np.int64)), pa.array(np.full(n + m, (partition << 32) + k))]
             columns += [pa.array(np.concatenate([a, b])) for a, b in zip(own, found, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "variant", "check", "shard", "ord", "rid", "start", "count"])
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "variant", "shard", "ord", "rid", "start", "count"])
 
     return run
 
@@ -280,12 +286,13 @@ def _cut(batches):
 def repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """(ord, rid, start, count) of runs of windows that start earlier too; `docs` has (ord, rid, text), rows all different."""
     made = written(docs.select("ord", "rid", "text").mapInArrow(_arrays(shard), UNIT))
-    inside = made.where("anchor IS NULL").select("ord", "rid", "start", "count")
+    inside = written(made.where("anchor IS NULL").select("ord", "rid", "start", "count"))
     again = made.where("anchor IS NOT NULL").groupBy("anchor").agg(F.min("shard").alias("x"), F.max("shard").alias("y")).where("x < y").select("anchor")
     met = written(made.join(again, "anchor", "left_semi").drop("shard"))
-    variants = written(met.groupBy("anchor", "variant", "check").agg(F.min(F.struct("ord", "rid", "start")).alias("first"), F.max("count").alias("count"), F.count("*").alias("n")))
-    first = variants.where("n > 1").select("anchor", "variant", "check", "first")
-    later = met.join(first, ["anchor", "variant", "check"]).where(F.struct("ord", "rid", "start") != F.col("first")).select("ord", "rid", "start", "count")
+    drop_written(made)
+    variants = written(met.groupBy("anchor", "variant").agg(F.min(F.struct("ord", "rid", "start")).alias("first"), F.max("count").alias("count"), F.count("*").alias("n")))
+    first = variants.where("n > 1").select("anchor", "variant", "first")
+    later = met.join(first, ["anchor", "variant"]).where(F.struct("ord", "rid", "start") != F.col("first")).select("ord", "rid", "start", "count")
     contested = variants.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1").select("anchor")
     hard = written(variants.join(contested, "anchor", "left_semi").select("anchor", "first.ord", "first.rid", "first.start", "count"))
     by_doc = hard.groupBy("ord", "rid").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("wanted"))
@@ -301,7 +308,7 @@ def repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     kinds = [df.withColumn("kind", F.lit(i)) for i, df in enumerate((small, big))]
     merged = kinds[0].unionByName(kinds[1]).groupBy("kind", "key", "low", "high").applyInPandas(_merge, RUN)
     found = written(inside.unionByName(later).unionByName(merged))
-    drop_written(made, met, variants, hard, cut)
+    drop_written(inside, met, variants, hard, cut)
     return found
 
 

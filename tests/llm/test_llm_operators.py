@@ -390,16 +390,16 @@ def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(1)
     for n in (1, 2, 50, 300):
         for text in (rng.integers(0, 3, n).astype(np.uint8), np.zeros(n, np.uint8)):
-            sa, tied = suffix.suffix_array(text)
+            sa, half, again, known = suffix.suffix_array(text)
             raw = text.tolist()
             assert sa.tolist() == sorted(range(n), key=lambda i: raw[i:])
-            for wanted in (np.ones(n, bool), tied):
-                lcp = suffix.common_prefixes(text, sa, wanted)
-                for i in range(1, n):
-                    a, b = raw[sa[i - 1] :], raw[sa[i] :]
-                    true = min(suffix.LENGTH, next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
-                    assert lcp[i] == (true if wanted[i] else 0)
-                    assert wanted[i] or true < suffix.LENGTH
+            true = [0]
+            for i in range(1, n):
+                a, b = raw[sa[i - 1] :], raw[sa[i] :]
+                true.append(min(suffix.LENGTH, next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))))
+            assert suffix.common_prefixes(text, sa, np.arange(1, n)).tolist() == true[1:]
+            assert half[again].tolist() == [i for i in range(n) if true[i] >= known]
+            assert suffix.common_prefixes(text, sa, half[again], known).tolist() == [x for x in true if x >= known]
 
 
 def test_repeats_across_shards(spark):
