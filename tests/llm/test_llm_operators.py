@@ -135,6 +135,70 @@ def test_verbatim_windows_count(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (3, 2), (4, 3), (5, 4)]
 
 
+def test_both_forms_make_the_same_template_words(spark):
+    rng = random.Random(15)
+    parts = ["Tom", "tom", "É", "Éa", "élan", "mm", "Kg", "KG", "12", "3.5", "1,2,", "٣", "%", "€", ".", "!", ":", "\n", " ", " ", " ", ", ", "'", "-", "_x", "a1", "N", "Ab", "aB", "日本", "\u0301", "5kg", "\ue001", "ß"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(3000)] + [(5000, None)]
+    df = table(spark, rows)
+    names = F.create_map(*(F.lit(x) for kv in ((templates._N, "#n"), (templates._U, "#u"), (templates._P, "#p")) for x in kv))
+    short = df.select("doc_id", F.transform(templates.canonical(F.col("text")), lambda x: F.coalesce(F.element_at(names, x), x)).alias("a"))
+    whole = templates.templated(df.where("text IS NOT NULL")).select("doc_id", F.transform("t", lambda s: s["c"]).alias("b"))
+    both = short.join(whole, "doc_id")
+    assert both.count() == 3000 and [tuple(r) for r in both.where("a <> b").limit(3).collect()] == []
+
+
+def brute_templates(docs, bench):
+    """Windows by comparing every position of every document with every one of each item, in plain Python."""
+    import regex
+
+    def words(text):
+        found, out, before = regex.findall(templates._WORDS, text), [], None
+        for x in found:
+            low = x.lower()
+            kind = "n" if regex.match(r"\p{N}", x) else "p" if regex.match(r"\p{Lu}\p{Ll}", x) else None
+            unit = before and before[1] == "n" and (low in templates.UNITS or x in templates.SIGNS)
+            name = kind == "p" and before and before[0] not in templates.STOPS
+            if unit or x not in templates.STOPS + templates.SIGNS:
+                out.append(("#n" if kind == "n" else "#u" if unit else "#p" if name else low, x))
+            before = (x, kind)
+        return out
+
+    out = set()
+    for item, text in bench:
+        a = words(text)
+        width = min(len(a), templates.WIDTH)
+        for doc, other in docs:
+            b, matched = words(other), defaultdict(list)
+            for i in range(len(a) - width + 1 if width else 0):
+                for j in range(len(b) - width + 1):
+                    if [x for x, _ in a[i : i + width]] == [x for x, _ in b[j : j + width]]:
+                        matched[j - i].append(i)
+            for shift, at in matched.items():
+                literal = lambda i: sum(not x.startswith("#") for x, _ in a[i : i + width])
+                rich = [i for i in at if literal(i) >= max(templates.LEAST, -(-width // 2))]
+                slots = {(a[p][1], b[p + shift][1]) for i in rich for p in range(i, i + width) if a[p][0].startswith("#")}
+                agree = len(slots) == len({x for x, _ in slots})
+                exact = [i for i in at if all(a[p][1] == b[p + shift][1] for p in range(i, i + width) if a[p][0].startswith("#"))]
+                if kept := set(exact) | (set(rich) if agree else set()):
+                    out.add((doc, item, shift, len(kept)))
+    return out
+
+
+def test_contamination_is_what_brute_force_finds(spark):
+    rng = random.Random(16)
+    words = ["the", "red", "Tom", "Ann", "kg", "7", "12", "has", "pears", "of", ".", "and", "3.5", "near", "old"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    bench = [(i, text(rng.randint(1, 14))) for i in range(12)]
+    docs = []
+    for i in range(120):
+        quoted = " ".join(rng.choice(["Tom", "Ann", "7", "12"]) if w in ("Tom", "Ann", "7", "12") and rng.random() < 0.4 else w for w in rng.choice(bench)[1].split())
+        docs.append((i, f"{text(rng.randint(0, 6))} {quoted} {text(rng.randint(0, 6))}"))
+    found = templates.contaminated(table(spark, docs), table(spark, bench, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"], r["doc_at"] - r["item_at"], r["n_windows"]) for r in found}
+    want = brute_templates(docs, bench)
+    assert got == want and len({d for d, *_ in want}) > 40
+
+
 # -- 3
 
 
