@@ -98,6 +98,8 @@ class Words:
 
     def keys(self) -> np.ndarray:
         """64 bits for each word's spelling."""
+        if not self.n:
+            return np.zeros(0, np.uint64)
         place = np.arange(len(self.of)) - self.starts[self.of]
         mixed = (self.marked.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
         return np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), self.starts)
@@ -144,26 +146,29 @@ def train(texts: list[str], toxic: list[int], warm: int = 20, steps: int = 110,
     """Adam on the embeddings, the softmax and its bias, with L2 decay; n-grams of fewer than RARE texts stay at 0."""
     if len(set(toxic)) < 2:
         return Model(np.zeros(0, np.float32), 0.0)
-    made = [(i, w) for i, t in enumerate(texts) if (w := Words(t)).n]
-    y = np.array([int(toxic[i]) for i, _ in made])
+    # Words of one text at a time are held, in two passes: keys of all words, then n-grams of each word's first occurrence.
+    keys = [Words(t).keys() for t in texts]
+    used = [i for i, k in enumerate(keys) if len(k)]
+    y = np.array([int(toxic[i]) for i in used])
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(0, np.float32), 0.0)
-    bounds = np.cumsum([w.n for _, w in made])[:-1]
-    _, where, ids = np.unique(np.concatenate([w.keys() for _, w in made]), return_index=True, return_inverse=True)
-    docs = np.split(ids, bounds)
+    sizes = np.array([len(keys[i]) for i in used])
+    bounds = np.cumsum(sizes)[:-1]
+    _, where, ids = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    del keys
     is_first = np.zeros(len(ids), bool)
     is_first[where] = True
     parts, sizes_of = [], []
-    for (_, w), new in zip(made, np.split(is_first, bounds), strict=True):
-        flat, count = w.lists()
+    for i, new in zip(used, np.split(is_first, bounds), strict=True):
+        flat, count = Words(texts[i]).lists()
         parts.append(flat[np.repeat(new, count)])
         sizes_of.append(count[new])
     # The lists stand in the order of first occurrence; `rank` takes a word's id there.
-    rank = np.empty(len(where), np.int64)
-    rank[np.argsort(where)] = np.arange(len(where))
-    docs = [rank[d] for d in docs]
+    rank = np.empty(len(where), np.int32)
+    rank[np.argsort(where)] = np.arange(len(where), dtype=np.int32)
+    docs = np.split(rank[ids], bounds)
     flat, counts = np.concatenate(parts), np.concatenate(sizes_of)
-    del made, parts
+    del parts, sizes_of, ids, where, is_first
     ends = np.cumsum(counts)
     starts = ends - counts
     texts_of = np.zeros(BUCKETS, np.int64)
@@ -174,7 +179,6 @@ def train(texts: list[str], toxic: list[int], warm: int = 20, steps: int = 110,
     e, u, b = (rng.normal(0, 0.05, (BUCKETS, WIDTH)) * known[:, None]).astype(np.float32), rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, u, b)]
     per_class = len(y) / (2 * np.bincount(y, minlength=2))
-    sizes = np.array(list(map(len, docs)))
 
     def at_random(n: int):
         for i in range(len(docs)):
@@ -207,8 +211,7 @@ def train(texts: list[str], toxic: list[int], warm: int = 20, steps: int = 110,
         dz = (p - np.eye(2, dtype=np.float32)[label]) * weight[:, None]
         dword = np.repeat((dz @ u.T) / lengths[:, None], lengths, axis=0)
         dvector = np.stack([np.bincount(which, dword[:, k], len(ids)) for k in range(WIDTH)], 1) / own[:, None]
-        spread = np.repeat(dvector, own, axis=0)
-        de = np.stack([np.bincount(buckets, spread[:, k], BUCKETS) for k in range(WIDTH)], 1) * known[:, None] + decay * e
+        de = np.stack([np.bincount(buckets, np.repeat(dvector[:, k], own), BUCKETS) for k in range(WIDTH)], 1) * known[:, None] + decay * e
         for value, grad, (m, v) in zip((e, u, b), (de, mean.T @ dz + decay * u, dz.sum(0)), state, strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad**2 - v)
