@@ -92,6 +92,7 @@ def test_path(path: Column) -> Column:
 #: Patterns of a line of code, joined into one so that each line is matched once.
 CODE_LINE = "|".join(
     (
+        r"^\s*<\?php\b",
         r"^\s*(?:trait|interface|class|public|protected|private|function|def)\s+\w",
         r"^\s*(?:namespace|use|from|import)\s+[\w\\]+",
         r"^\s*(\+\+\+|---)\s+[ab]/",

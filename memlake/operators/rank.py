@@ -52,9 +52,9 @@ def with_task_boost(score: Column, relevance: Column) -> Column:
     return F.when(relevance.isNotNull(), F.least(F.lit(1.0), score + 0.04 * F.least(relevance, F.lit(5.0)))).otherwise(score)
 
 
-def reasons() -> Column:
-    """Why a row ranks where it does, in a fixed order."""
-    named = (("embedding_similarity", F.col("vector") > 0.5), ("token_overlap", F.col("symbolic") > 0.3), ("recent_chunk", F.col("recency") > 0.8), ("source_affinity_match", F.col("affinity") > 0), ("llm_advisor_high", F.col("advisor") > 0.7))
+def reasons(is_session: Column | None = None) -> Column:
+    """Why a row ranks where it does, in a fixed order; rows of the session's thread say so last."""
+    named = (("embedding_similarity", F.col("vector") > 0.5), ("token_overlap", F.col("symbolic") > 0.3), ("recent_chunk", F.col("recency") > 0.8), ("source_affinity_match", F.col("affinity") > 0), ("llm_advisor_high", F.col("advisor") > 0.7), ("session-recency", F.lit(False) if is_session is None else is_session))
     return F.array_compact(F.array(*(F.when(c, n) for n, c in named)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from memlake.operators.vector import clamp
+from memlake.operators.vector import clamp, nearest
 
 
 def topics(text: Column, index: Column) -> Column:
@@ -97,10 +97,25 @@ def label_frequency(labels: DataFrame, plausible: Column, exclude: list[str], li
     return counted.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
 
 
+#: What is stripped from both ends of a message's words.
+MARKS = ".,!?;:()[]{}\"'"
+
+
 def trigger_scan(messages: DataFrame, index: DataFrame, inactive: DataFrame, k: int = 3) -> DataFrame:
-    """(message_id, keyword, cluster): up to k clusters whose active keyword a message has, in order of keyword."""
-    words = messages.select("message_id", F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^a-z0-9]+|[^a-z0-9]+$", "")))).alias("keyword")).where(F.length("keyword") > 2)
+    """(message_id, keyword, cluster): up to k clusters whose active keyword a message has, in order of keyword.
+
+    Words of three characters or more count, marks at their ends stripped afterwards.
+    """
+    long = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 2)
+    words = messages.select("message_id", F.explode(F.array_distinct(F.transform(long, lambda w: F.btrim(w, F.lit(MARKS))))).alias("keyword"))
     found = words.join(index, "keyword").join(inactive, F.concat(F.lit("keyword:"), F.col("keyword")) == F.col("trigger_id"), "left_anti")
     firsts = found.groupBy("message_id", "cluster").agg(F.min("keyword").alias("keyword"))
     rank = F.row_number().over(W.partitionBy("message_id").orderBy("keyword", "cluster"))
     return firsts.withColumn("rank", rank).where(F.col("rank") <= k).select("message_id", "keyword", "cluster")
+
+
+def trigger_similar(messages: DataFrame, hit: DataFrame, clusters: DataFrame, inactive: DataFrame, k: int = 3, least: float = 0.75) -> DataFrame:
+    """(message_id, cluster, similarity) for messages (message_id, q) without a keyword's `hit`: of the k nearest
+    clusters (cluster, v) those at `least` or more that are active."""
+    found = nearest(messages.join(hit, "message_id", "left_anti"), clusters, k, "message_id", "cluster", least=least)
+    return found.join(inactive, F.concat(F.lit("cluster:"), F.col("cluster").cast("string")) == F.col("trigger_id"), "left_anti").drop("rank")

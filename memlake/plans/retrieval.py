@@ -194,9 +194,9 @@ def task_boost(spark: SparkSession, sf: str) -> DataFrame:
     return stages(spark, sf).select("chunk_id", F.round(rank.with_task_boost(rank.score_v1(), relevance.cast("double")), 6).alias("score"))
 
 
-@query(with_(D.CHUNKS, STAGES, body="SELECT chunk_id, list_filter([CASE WHEN vector > 0.5 THEN 'embedding_similarity' END, CASE WHEN symbolic > 0.3 THEN 'token_overlap' END, CASE WHEN recency > 0.8 THEN 'recent_chunk' END, CASE WHEN affinity > 0 THEN 'source_affinity_match' END, CASE WHEN advisor > 0.7 THEN 'llm_advisor_high' END], lambda x: x IS NOT NULL) AS reasons FROM stages"))
+@query(with_(D.CHUNKS, STAGES, body="SELECT chunk_id, list_filter([CASE WHEN vector > 0.5 THEN 'embedding_similarity' END, CASE WHEN symbolic > 0.3 THEN 'token_overlap' END, CASE WHEN recency > 0.8 THEN 'recent_chunk' END, CASE WHEN affinity > 0 THEN 'source_affinity_match' END, CASE WHEN advisor > 0.7 THEN 'llm_advisor_high' END, CASE WHEN doc_id % 17 = 0 THEN 'session-recency' END], lambda x: x IS NOT NULL) AS reasons FROM stages"))
 def reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return stages(spark, sf).select("chunk_id", rank.reasons().alias("reasons"))
+    return stages(spark, sf).select("chunk_id", rank.reasons(F.col("doc_id") % 17 == 0).alias("reasons"))
 
 
 @query(with_(D.CHUNKS, STAGES, f"g AS (SELECT doc_id % 20 AS query_id, chunk_id, CASE WHEN doc_id % 17 = 0 THEN greatest(round({V1}, 6), 0.5) ELSE round({V1}, 6) END AS score, doc_id % 17 = 0 AS is_session FROM stages)", "a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_session DESC, score DESC, chunk_id) AS f FROM g)", body="SELECT query_id, chunk_id, score, is_session, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS place FROM a WHERE f <= 8"))

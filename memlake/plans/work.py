@@ -85,9 +85,9 @@ def add_source_ref(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.first_written(events(spark, sf), ["user_id", "event_type"], [F.col("event_id")]).select("user_id", "event_type", "event_id")
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN NULL WHEN length(text) < 80 THEN 'too_short' WHEN turn % 4 = 2 THEN 'code_density' END AS reason FROM conversations WHERE turn < 4")
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN NULL WHEN length(text) < 80 THEN 'too_short' WHEN turn % 4 = 2 THEN 'code_density' END AS reason FROM conversations")
 def chunk_quality_filter(spark: SparkSession, sf: str) -> DataFrame:
-    c = D.table(spark, sf, "conversations").where("turn < 4")
+    c = D.table(spark, sf, "conversations")
     text = F.when((F.col("turn") % 4 == 2) & (F.length("text") >= 80), F.concat(F.lit("```py\n"), F.regexp_replace("text", "`", " "), F.lit("\n```"))).otherwise(F.col("text"))
     kind = F.when(F.col("turn") % 2 == 1, "note").otherwise("conversation_summary")
     return c.select("conv_id", "turn", T.skip_reason(text, kind).alias("reason"))
@@ -301,12 +301,29 @@ def recent_n(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("n", newest).where("n <= 5").select("repo", "chunk_id", "created_at")
 
 
-@query("WITH w AS (SELECT DISTINCT doc_id AS message_id, regexp_replace(regexp_replace(unnest(string_split_regex(lower(text), '\\s+')), '^[^a-z0-9]+', ''), '[^a-z0-9]+$', '') AS keyword FROM documents WHERE lang = 'en'), k AS (SELECT * FROM (VALUES ('the', 'A'), ('and', 'B'), ('that', 'C'), ('from', 'D'), ('with', 'A'), ('was', 'E')) AS t(keyword, cluster)), f AS (SELECT message_id, cluster, min(keyword) AS keyword FROM w JOIN k USING (keyword) WHERE keyword <> 'was' GROUP BY ALL) SELECT message_id, keyword, cluster FROM f QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY keyword, cluster) <= 3")
+HITS = """w AS (SELECT DISTINCT message_id, trim(x, '.,!?;:()[]{}"''') AS keyword FROM (SELECT doc_id AS message_id, unnest(string_split_regex(lower(text), '\\s+')) AS x FROM documents) WHERE length(x) > 2),
+k AS (SELECT * FROM (VALUES ('the', 'A'), ('and', 'B'), ('die', 'C'), ('les', 'D'), ('der', 'A'), ('los', 'E'), ('für', 'F')) AS t(keyword, cluster)),
+hits AS (SELECT message_id, cluster, min(keyword) AS keyword FROM w JOIN k USING (keyword) WHERE keyword <> 'los' GROUP BY ALL)"""
+
+
+def scanned(spark: SparkSession, sf: str) -> DataFrame:
+    index = spark.createDataFrame([("the", "A"), ("and", "B"), ("die", "C"), ("les", "D"), ("der", "A"), ("los", "E"), ("für", "F")], "keyword string, cluster string")
+    off = spark.createDataFrame([("keyword:los",)], "trigger_id string")
+    return work.trigger_scan(D.table(spark, sf, "documents").select(F.col("doc_id").alias("message_id"), "text"), index, off)
+
+
+@query(with_(HITS, body="SELECT message_id, keyword, cluster FROM hits QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY keyword, cluster) <= 3"))
 def trigger_scan(spark: SparkSession, sf: str) -> DataFrame:
-    index = spark.createDataFrame([("the", "A"), ("and", "B"), ("that", "C"), ("from", "D"), ("with", "A"), ("was", "E")], "keyword string, cluster string")
-    off = spark.createDataFrame([("keyword:was",)], "trigger_id string")
-    messages = D.table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("message_id"), "text")
-    return work.trigger_scan(messages, index, off)
+    return scanned(spark, sf)
+
+
+@query(with_(HITS, D.VECTORS, D.CATEGORIES, "s AS (SELECT vec_id AS message_id, category_id AS cluster, round(coalesce(list_cosine_similarity(v, centre), 0), 6) AS similarity FROM vectors, categories WHERE vec_id NOT IN (SELECT message_id FROM hits))", body="SELECT * FROM (SELECT * FROM s WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY similarity DESC, cluster) <= 3) WHERE cluster <> 4"))
+def trigger_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages are the documents with an embedding; those with a keyword's hit aren't compared."""
+    messages = D.vectors(spark, sf).select(F.col("vec_id").alias("message_id"), F.col("v").alias("q"))
+    clusters = D.categories(spark, sf).select(F.col("category_id").alias("cluster"), F.col("centre").alias("v"))
+    off = spark.createDataFrame([("cluster:4",)], "trigger_id string")
+    return work.trigger_similar(messages, scanned(spark, sf).select("message_id").distinct(), clusters, off, least=0.5)
 
 
 @query("SELECT c_custkey, (length(c_name) BETWEEN 2 AND 30) AND regexp_full_match(lower(replace(c_name, '#', '_')), '[a-zäöüß0-9_-]+') AND (length(c_name) < 5 OR (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(lower(replace(c_name, '#', '_')), '')) AS ch) GROUP BY ch)) <= length(c_name) * 0.6) AS plausible FROM customer")
