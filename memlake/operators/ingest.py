@@ -50,8 +50,23 @@ def exact_dedup(existing: DataFrame, incoming: DataFrame, order: list[str]) -> D
 
 
 def source_refs(deduped: DataFrame) -> DataFrame:
-    """(canonical_id, sources): every source that holds a canonical chunk's text."""
-    return deduped.groupBy("workspace_id", "canonical_id").agg(F.sort_array(F.collect_set("source_id")).alias("sources"))
+    """(workspace_id, canonical_id, source_id): every source that holds a canonical chunk's text, a row each."""
+    return deduped.select("workspace_id", "canonical_id", "source_id").distinct()
+
+
+def also_in(deduped: DataFrame, most: int = 10) -> DataFrame:
+    """`deduped` with n_also and also_in: how many other sources hold a row's text, and the first `most` of them.
+
+    A text in very many sources is cut to its first ones in parts by a hash, then together; lists stay bounded.
+    """
+    keys, refs = ["workspace_id", "canonical_id"], source_refs(deduped)
+    part = W.partitionBy(*keys, F.pmod(F.xxhash64("source_id"), F.lit(64))).orderBy("source_id")
+    few = refs.withColumn("memlake_n", F.row_number().over(part)).where(F.col("memlake_n") <= most + 1)
+    few = few.withColumn("memlake_n", F.row_number().over(W.partitionBy(*keys).orderBy("source_id"))).where(F.col("memlake_n") <= most + 1)
+    held = few.groupBy(*keys).agg(F.sort_array(F.collect_list("source_id")).alias("memlake_held"))
+    counts = refs.groupBy(*keys).agg((F.count("*") - 1).alias("n_also"))
+    out = deduped.join(held.join(counts, keys), keys)
+    return out.withColumn("also_in", F.slice(F.array_remove("memlake_held", F.col("source_id")), 1, most)).drop("memlake_held")
 
 
 # -- chunkers: what needs a parser runs in Python over Arrow batches, the rest in the JVM

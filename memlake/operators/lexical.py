@@ -1,7 +1,9 @@
-"""The keyword lane: postings, BM25 for many queries at once, and the symbolic overlap score."""
+"""The keyword lane: stored postings, BM25 for many queries at once, and the symbolic overlap score."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from memlake.functions.text import all_tokens, tokens
 
 K1, B = 1.2, 0.75
+BUCKETS = 32
 #: Least inverse document frequency: that of terms in over half of the documents.
 COMMON = 1e-6
 
@@ -24,33 +27,80 @@ def postings(docs: DataFrame, key: str, *texts: str) -> DataFrame:
     return _exploded(docs, key, texts).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "chunk_id", texts: tuple[str, ...] = ("text", "summary"), limit: int = 200) -> DataFrame:
-    """(query_id, key, bm25, rank): the `limit` best of all `docs` for each query, ties to the smaller key.
+@dataclass(frozen=True)
+class Index:
+    """Postings (term, key, tf, length) of a collection and its totals."""
 
-    Only postings of terms in a query are counted, through a semi join on the term; totals are one row.
-    """
-    words = F.concat(*(all_tokens(F.col(t)) for t in texts))
+    postings: DataFrame
+    n_docs: int
+    all_words: int
+
+    @staticmethod
+    def of(docs: DataFrame, key: str = "chunk_id", texts: tuple[str, ...] = ("text", "summary"), path: str | None = None) -> Index:
+        """With a path the postings are stored there, by buckets of terms and sorted, so that a query reads its own terms'."""
+        made = postings(docs, key, *texts).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        if path is not None:
+            made.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(path)
+            made = docs.sparkSession.read.parquet(path)
+        return Index(made, docs.count(), made.agg(F.sum("tf")).first()[0] or 0)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """(query_id, term, bucket) of a stated set of queries, small enough to broadcast."""
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
-    totals = docs.agg(F.count("*").alias("n_docs"), F.sum(F.size(words)).alias("all_words"))
-    found = _exploded(docs, key, texts).join(asked.select("term").distinct(), "term", "left_semi")
-    counted = found.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
-    often = counted.groupBy("term").agg(F.count("*").alias("df"))
-    terms = asked.join(often, "term").crossJoin(F.broadcast(totals))  # one row of totals
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return F.broadcast(asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")))
+
+
+def matches(index: Index, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, bm25, shared): the score of every document that has a query's term, and how many terms it has."""
+    found = index.postings.join(_asked(queries), ["bucket", "term"])
+    often = found.select("term", key).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((index.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(COMMON)).otherwise(idf)
-    mean = F.col("all_words") / F.col("n_docs")
-    scored = terms.join(counted, "term")
+    mean = index.all_words / max(1, index.n_docs)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    summed = scored.groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("bm25"))
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bm25"), key))
-    return summed.withColumn("rank", best).where(F.col("rank") <= limit)
-
-
-def symbolic(query_tokens: Column, text: Column, summary: Column, source_id: Column, labels: Column) -> Column:
-    """Share of query tokens in the chunk, +0.2 if the source's name holds one, +0.1 if a label does; 1 at most."""
-    chunk = F.array_union(tokens(text), tokens(summary))
-    share = F.size(F.array_intersect(query_tokens, chunk)) / F.size(query_tokens)
-    named = F.exists(query_tokens, lambda t: F.contains(F.lower(source_id), t))
-    labelled = F.arrays_overlap(query_tokens, tokens(F.array_join(labels, ",")))
-    total = share + F.when(named, 0.2).otherwise(0.0) + F.when(labelled, 0.1).otherwise(0.0)
-    return F.when(F.size(query_tokens) == 0, 0.0).otherwise(F.least(F.lit(1.0), total))
+    return found.join(often, "term").groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("bm25"), F.count("*").alias("shared"))
+
+
+def best(scored: DataFrame, score: str, limit: int, key: str = "chunk_id") -> DataFrame:
+    """The `limit` best rows of each query with their `rank`, ties to the smaller key: first of each query's parts by a
+    hash of the key, then of these, so that no task sorts all hits of one query."""
+    part = W.partitionBy("query_id", F.pmod(F.xxhash64(key), F.lit(64))).orderBy(F.desc(score), key)
+    few = scored.withColumn("memlake_n", F.row_number().over(part)).where(F.col("memlake_n") <= limit).drop("memlake_n")
+    return few.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(score), key))).where(F.col("rank") <= limit)
+
+
+def bm25(index: Index, queries: DataFrame, key: str = "chunk_id", limit: int = 200) -> DataFrame:
+    """(query_id, key, bm25, rank): the `limit` best of all documents for each query."""
+    return best(matches(index, queries, key).drop("shared"), "bm25", limit, key)
+
+
+def symbolic(shared: Column, n_terms: Column, named: Column, labelled: Column) -> Column:
+    """Share of query terms in the chunk, +0.2 if the source's name holds one, +0.1 if a label does; 1 at most."""
+    total = shared / n_terms + F.when(named, 0.2).otherwise(0.0) + F.when(labelled, 0.1).otherwise(0.0)
+    return F.when(n_terms == 0, 0.0).otherwise(F.least(F.lit(1.0), total))
+
+
+def named_by(query_tokens: Column, source_id: Column) -> Column:
+    return F.exists(query_tokens, lambda t: F.contains(F.lower(source_id), t))
+
+
+def labelled_by(query_tokens: Column, labels: Column) -> Column:
+    return F.arrays_overlap(query_tokens, tokens(F.array_join(labels, ",")))
+
+
+def symbolic_scores(index: Index, chunks: DataFrame, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, symbolic) of every chunk that shares a term with a query by text, source name or label.
+
+    Texts meet the queries in the postings; only names and labels are compared with each of the queries' terms.
+    """
+    asked = _asked(queries)
+    none = F.lit(0).cast("long")
+    text = index.postings.join(asked, ["bucket", "term"]).select("query_id", key, F.lit(1).cast("long").alias("s"), none.alias("n"), none.alias("l"))
+    names = chunks.select(key, F.lower("source_id").alias("name"))
+    name = names.join(asked, F.contains(F.col("name"), F.col("term"))).select("query_id", key, none.alias("s"), F.lit(1).cast("long").alias("n"), none.alias("l"))
+    labels = chunks.select(key, F.explode(tokens(F.array_join("labels", ","))).alias("term"))
+    label = labels.join(asked, "term").select("query_id", key, none.alias("s"), none.alias("n"), F.lit(1).cast("long").alias("l"))
+    met = text.join(chunks.select(key), key, "left_semi").unionByName(name).unionByName(label).groupBy("query_id", key).agg(F.sum("s").alias("s"), F.max("n").alias("n"), F.max("l").alias("l"))
+    sizes = F.broadcast(queries.select("query_id", F.size(tokens(F.col("query"))).alias("terms")))
+    return met.join(sizes, "query_id").select("query_id", key, F.round(symbolic(F.col("s"), F.col("terms"), F.col("n") > 0, F.col("l") > 0), 6).alias("symbolic"))

@@ -78,10 +78,10 @@ def embedded(text: Column) -> Column:
     """A deterministic embedding of a text's first 500 characters: counts of its words by the first hex digit of their
     MD5, as a unit vector of 16 components (null without words)."""
     words = F.regexp_extract_all(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, LIMITS["document"])), F.lit("[a-z0-9]+"), F.lit(0))
-    digits = F.transform(words, lambda w: F.substring(F.md5(w), 1, 1))
-    counts = F.transform(F.split(F.lit("0 1 2 3 4 5 6 7 8 9 a b c d e f"), " "), lambda d: F.size(F.filter(digits, lambda x: x == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm))
+    digits = F.array_join(F.transform(words, lambda w: F.substring(F.md5(w), 1, 1)), "")
+    counts = [(F.length(digits) - F.length(F.replace(digits, F.lit(d), F.lit("")))).cast("double") for d in "0123456789abcdef"]
+    norm = F.sqrt(sum((c * c for c in counts[1:]), counts[0] * counts[0]))
+    return F.when(norm > 0, F.array(*(c / norm for c in counts)))
 
 
 # -- goals, todos, tasks
@@ -94,7 +94,7 @@ def canonical_goals(new: DataFrame, known: DataFrame, least: float = 0.85) -> Da
     `new` and `known` have (goal_id, workspace_id, text, v); texts count trimmed and in lower case.
     """
     name = F.lower(F.trim("text"))
-    rows, have = new.where(name != "").withColumn("name", name), known.withColumn("name", name)
+    rows, have = new.where(name != "").withColumn("name", name), known.where(name != "").withColumn("name", name)
     exact = have.groupBy("workspace_id", "name").agg(F.min("goal_id").alias("exact"))
     rows = rows.join(exact, ["workspace_id", "name"], "left")
     left = rows.where("exact IS NULL").select(F.col("goal_id"), "workspace_id", F.col("v").alias("q"))

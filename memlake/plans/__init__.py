@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memlake.plans import retrieval, work
+from memlake.plans import memory, retrieval, work
 
-QUERIES: dict = retrieval.QUERIES | work.QUERIES
-ORACLES: dict[str, str] = retrieval.ORACLES | work.ORACLES
+QUERIES: dict = retrieval.QUERIES | work.QUERIES | memory.QUERIES
+ORACLES: dict[str, str] = retrieval.ORACLES | work.ORACLES | memory.ORACLES

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions.text import tokens
-from memlake.operators import lexical, rank, vector
+from memlake.operators import lexical, rank, vector, work
 from memlake.operators.scope import Scope, metadata_filter, scoped
 from memlake.sources import datasets as D
 
@@ -74,7 +74,7 @@ lane AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC,
 
 @query(with_(D.CHUNKS, D.QUERIES, BM25, body="SELECT query_id, chunk_id, bm25, CAST(rank AS INTEGER) AS rank FROM lane WHERE rank <= 200"))
 def topk_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.bm25(D.chunks(spark, sf), D.search_queries(spark, sf))
+    return lexical.bm25(D.stored_index(spark, sf), D.search_queries(spark, sf))
 
 
 SYMBOLIC = """(CASE WHEN len(qt) = 0 THEN 0.0 ELSE least(1.0, len(list_intersect(qt, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+') || regexp_extract_all(lower(summary), '[a-z0-9]+')))) / CAST(len(qt) AS DOUBLE)
@@ -83,9 +83,8 @@ SYMBOLIC = """(CASE WHEN len(qt) = 0 THEN 0.0 ELSE least(1.0, len(list_intersect
 
 @query(with_(D.CHUNKS, D.QUERIES, "q AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS qt FROM queries)", f"s AS (SELECT query_id, chunk_id, round({SYMBOLIC}, 6) AS symbolic FROM q, chunks WHERE is_active)", "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY symbolic DESC, chunk_id) AS rank FROM s WHERE symbolic > 0)", body="SELECT query_id, chunk_id, symbolic FROM r WHERE rank <= 20"))
 def symbolic(spark: SparkSession, sf: str) -> DataFrame:
-    both = vector.pairs(D.chunks(spark, sf).where("is_active"), D.search_queries(spark, sf).select("query_id", tokens(F.col("query")).alias("qt")))
-    s = both.select("query_id", "chunk_id", F.round(lexical.symbolic(F.col("qt"), F.col("text"), F.col("summary"), F.col("source_id"), F.col("labels")), 6).alias("symbolic")).where("symbolic > 0")
-    return s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("symbolic"), "chunk_id"))).where("rank <= 20").drop("rank")
+    found = lexical.symbolic_scores(D.stored_index(spark, sf), D.chunks(spark, sf).where("is_active"), D.search_queries(spark, sf))
+    return lexical.best(found.where("symbolic > 0"), "symbolic", 20).drop("rank")
 
 
 def cos(a: str, b: str) -> str:
@@ -211,17 +210,23 @@ def ab_split(spark: SparkSession, sf: str) -> DataFrame:
     return D.search_queries(spark, sf).select("query_id", rank.picked_version(F.col("query")).alias("version"))
 
 
-def search_(chunks: DataFrame, queries: DataFrame, scope: Scope, at, k: int = 8, links: DataFrame | None = None, feedback: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
-    """Hybrid search for many queries: scope, the keyword lane before it, symbolic score, ranking and admission.
+def search_(index: lexical.Index, chunks: DataFrame, queries: DataFrame, scope: Scope, at, k: int = 8, links: DataFrame | None = None, feedback: DataFrame | None = None, vectors: DataFrame | None = None, session: DataFrame | None = None) -> DataFrame:
+    """Hybrid search for many queries: candidates of the keyword, vector and session lanes, within the scope, scored and
+    admitted.  No text is read: what texts share with queries comes from the postings.
 
-    `vectors` (query_id, chunk_id, vector) adds the vector lane's candidates, `feedback` (chunk_id, feedback) ratings.
+    `vectors` (query_id, chunk_id, vector) are the vector lane's candidates, `session` (chunk_id) the session's thread,
+    `feedback` (chunk_id, feedback) ratings.
     """
-    allowed = scoped(chunks, scope, links)
-    lane = lexical.bm25(chunks, queries).select("query_id", "chunk_id")
+    known = lexical.matches(index, queries)
+    lane = lexical.best(known, "bm25", 200).select("query_id", "chunk_id")
     if vectors is not None:
-        lane = lane.unionByName(vectors.select("query_id", "chunk_id")).distinct()
-    rows = lane.join(allowed, "chunk_id").join(queries.select("query_id", tokens(F.col("query")).alias("qt")), "query_id")
-    rows = rows.withColumn("symbolic", lexical.symbolic(F.col("qt"), F.col("text"), F.col("summary"), F.col("source_id"), F.col("labels"))).withColumn("recency", rank.recency(F.col("created_at"), at))
+        lane = lane.unionByName(vectors.select("query_id", "chunk_id"))
+    if session is not None:  # a few chunks with every query
+        lane = lane.unionByName(queries.select("query_id").crossJoin(F.broadcast(session.select("chunk_id"))))
+    rows = lane.distinct().join(scoped(chunks, scope, links).drop("text"), "chunk_id").join(known.select("query_id", "chunk_id", "shared"), ["query_id", "chunk_id"], "left")
+    rows = rows.join(F.broadcast(queries.select("query_id", tokens(F.col("query")).alias("qt"))), "query_id")
+    symbolic = lexical.symbolic(F.coalesce("shared", F.lit(0)), F.size("qt"), lexical.named_by(F.col("qt"), F.col("source_id")), lexical.labelled_by(F.col("qt"), F.col("labels")))
+    rows = rows.withColumns({"symbolic": symbolic, "recency": rank.recency(F.col("created_at"), at)})
     rows = rows.join(vectors, ["query_id", "chunk_id"], "left") if vectors is not None else rows.withColumn("vector", F.lit(0.0))
     rows = rows.join(feedback, "chunk_id", "left") if feedback is not None else rows.withColumn("feedback", F.lit(None).cast("double"))
     zeros = {c: F.lit(0.0) for c in ("affinity", "predicted", "hint", "category")} | {"advisor": F.lit(None).cast("double")}
@@ -230,25 +235,45 @@ def search_(chunks: DataFrame, queries: DataFrame, scope: Scope, at, k: int = 8,
         rows = rows.join(own, "chunk_id", "left")
     else:
         zeros["project"] = F.lit(0.0)
-    scored = rows.withColumns(zeros).select("query_id", "chunk_id", "source_id", "symbolic", "recency", F.round(rank.score_v1(), 6).alias("score"), F.lit(False).alias("is_session"))
-    return rank.admitted(scored, k).drop("is_session")
-
-
-SEARCH = f"""SELECT query_id, chunk_id, source_id, round(score, 4) AS score, CAST(place AS INTEGER) AS place FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM (
-    SELECT query_id, chunk_id, source_id, round(CASE WHEN (symbolic > 0.3)::INT + (recency > 0.8)::INT = 2 THEN 0.06 ELSE 0.0 END + 0.2 * symbolic + 0.1 * recency + 0.075 + 0.08 * project, 6) AS score FROM (
-      SELECT lane.query_id, chunk_id, source_id, {SYMBOLIC} AS symbolic, greatest(0, 1 - (epoch_us(TIMESTAMP '{D.NOW}') - epoch_us(created_at)) / 86400000000.0::DOUBLE / 30) AS recency,
-        CASE WHEN chunk_id IN (SELECT chunk_id FROM links) THEN 1.0 ELSE 0.0 END AS project
-      FROM lane JOIN chunks USING (chunk_id) JOIN (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS qt FROM queries) q ON q.query_id = lane.query_id
-      WHERE rank <= 200 AND is_active AND (visibility = 'public' OR (visibility = 'org' AND org_id = 'org1') OR (visibility = 'private' AND user_id = 'u3'))
-        AND (source_class <> 'reference' OR chunk_id IN (SELECT chunk_id FROM links WHERE workspace_id = 'ws0'))))) WHERE place <= 8"""
-
-
-@query(with_(D.CHUNKS, D.LINKS, D.QUERIES, BM25, body=SEARCH))
+    if session is not None:
+        rows = rows.join(F.broadcast(session.select("chunk_id", F.lit(True).alias("thread")).distinct()), "chunk_id", "left").withColumn("is_session", F.coalesce("thread", F.lit(False)))
+    else:
+        rows = rows.withColumn("is_session", F.lit(False))
+    scored = rows.withColumns(zeros).withColumn("score", F.round(rank.score_v1(), 6)).withColumn("reasons", rank.reasons(F.col("is_session")))
+    return rank.admitted(scored.select("query_id", "chunk_id", "source_id", "symbolic", "recency", "score", "reasons", "is_session"), k).drop("is_session")
+
+
+SEARCH = f"""vlane AS (SELECT a.vec_id AS query_id, c.chunk_id, greatest(0, least(1, round({cos('a.v', 'b.v')}, 6))) AS vector, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({cos('a.v', 'b.v')}, 6) DESC, c.chunk_id) AS n
+  FROM vectors a JOIN queries q ON q.query_id = a.vec_id, vectors b JOIN chunks c ON c.doc_id = b.vec_id),
+sess AS (SELECT chunk_id FROM chunks WHERE is_active AND source_type = 'conversation_summary' AND workspace_id = 'ws0' ORDER BY created_at DESC, chunk_id LIMIT 3),
+fb AS (SELECT chunk_id, greatest(0, least(1, (avg(event_id % 6) - 1) / 4)) AS feedback FROM events JOIN chunks ON doc_id = events.user_id WHERE event_id % 6 > 0 GROUP BY chunk_id),
+cand AS (SELECT query_id, chunk_id FROM lane WHERE rank <= 200 UNION SELECT query_id, chunk_id FROM vlane WHERE n <= 50 UNION SELECT query_id, chunk_id FROM queries, sess),
+p AS (SELECT cand.query_id, c.chunk_id, c.source_id, {SYMBOLIC} AS symbolic, greatest(0, 1 - (epoch_us(TIMESTAMP '{D.NOW}') - epoch_us(created_at)) / 86400000000.0::DOUBLE / 30) AS recency,
+    CASE WHEN c.chunk_id IN (SELECT chunk_id FROM links) THEN 1.0 ELSE 0.0 END AS project, coalesce(v.vector, 0) AS vector, coalesce(fb.feedback, 0.5) AS feedback, c.chunk_id IN (SELECT chunk_id FROM sess) AS is_session
+  FROM cand JOIN chunks c USING (chunk_id) JOIN (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS qt FROM queries) q ON q.query_id = cand.query_id
+  LEFT JOIN (SELECT * FROM vlane WHERE n <= 50) v ON v.query_id = cand.query_id AND v.chunk_id = cand.chunk_id LEFT JOIN fb ON fb.chunk_id = c.chunk_id
+  WHERE is_active AND (visibility = 'public' OR (visibility = 'org' AND org_id = 'org1') OR (visibility = 'private' AND user_id = 'u3')) AND (source_class <> 'reference' OR c.chunk_id IN (SELECT chunk_id FROM links WHERE workspace_id = 'ws0'))),
+st AS (SELECT *, (vector > 0.5)::INT + (symbolic > 0.3)::INT + (recency > 0.8)::INT AS strong FROM p),
+sc AS (SELECT *, round(CASE WHEN strong = 3 THEN 0.12 WHEN strong = 2 THEN 0.06 ELSE 0.0 END + 0.3 * vector + 0.2 * symbolic + 0.1 * recency + 0.15 * (2 * feedback - 1) + 0.075 + 0.08 * project - CASE WHEN feedback < 0.3 THEN 0.1 ELSE 0.0 END, 6) AS raw FROM st),
+f AS (SELECT *, CASE WHEN is_session THEN greatest(raw, 0.5) ELSE raw END AS score FROM sc),
+adm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_session DESC, score DESC, chunk_id) AS first FROM f),
+won AS (SELECT query_id, chunk_id, source_id, score, is_session, vector, symbolic, recency, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM adm WHERE first <= 8)"""
+FOUND = """SELECT query_id, chunk_id, source_id, round(score, 4) AS score, CAST(place AS INTEGER) AS place,
+  list_filter([CASE WHEN vector > 0.5 THEN 'embedding_similarity' END, CASE WHEN symbolic > 0.3 THEN 'token_overlap' END, CASE WHEN recency > 0.8 THEN 'recent_chunk' END, CASE WHEN is_session THEN 'session-recency' END], lambda x: x IS NOT NULL) AS reasons FROM won"""
+
+
+@query(with_(D.CHUNKS, D.LINKS, D.QUERIES, D.VECTORS, BM25, SEARCH, body=FOUND))
 def search(spark: SparkSession, sf: str) -> DataFrame:
-    scope = Scope("ws0", "u3", ("org1",), project_id="p1")
-    out = search_(D.chunks(spark, sf), D.search_queries(spark, sf), scope, now(), links=D.project_links(spark, sf))
-    return out.select("query_id", "chunk_id", "source_id", F.round("score", 4).alias("score"), "place")
+    """Every benchmark item against all chunks; documents' embeddings are their chunks', an item's is that of its number."""
+    scope, c, queries = Scope("ws0", "u3", ("org1",), project_id="p1"), D.chunks(spark, sf), D.search_queries(spark, sf)
+    v = D.vectors(spark, sf)
+    asked = v.join(F.broadcast(queries.select(F.col("query_id").alias("vec_id"))), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    items = v.join(c.select(F.col("doc_id").alias("vec_id"), "chunk_id"), "vec_id").select("chunk_id", "v")
+    near = vector.nearest(asked, items, 50, "query_id", "chunk_id").select("query_id", "chunk_id", vector.clamp(F.col("similarity")).alias("vector"))
+    thread = c.where("is_active AND source_type = 'conversation_summary' AND workspace_id = 'ws0'").orderBy(F.desc("created_at"), "chunk_id").limit(3).select("chunk_id")
+    rated = D.table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 6).cast("string").alias("signal")).join(c.select("doc_id", "chunk_id"), "doc_id")
+    out = search_(D.stored_index(spark, sf), c, queries, scope, now(), links=D.project_links(spark, sf), feedback=work.feedback(rated), vectors=near, session=thread)
+    return out.select("query_id", "chunk_id", "source_id", F.round("score", 4).alias("score"), "place", "reasons")
 
 
 def compress_prompt(spark: SparkSession, sf: str) -> DataFrame:

@@ -52,15 +52,14 @@ def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return deduped(spark, sf).select("chunk_id", "canonical_id", "is_canonical")
 
 
-@query(with_(D.CHUNKS, DEDUP, body="SELECT workspace_id, canonical_id, list_sort(list(DISTINCT source_id)) AS sources FROM dd GROUP BY ALL"))
+@query(with_(D.CHUNKS, DEDUP, body="SELECT DISTINCT workspace_id, canonical_id, source_id FROM dd"))
 def source_refs(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.source_refs(deduped(spark, sf))
 
 
-@query(with_(D.CHUNKS, DEDUP, body="SELECT chunk_id, list_filter(s.sources, lambda x: x <> source_id) AS also_in FROM dd JOIN (SELECT workspace_id, canonical_id, list_sort(list(DISTINCT source_id)) AS sources FROM dd GROUP BY ALL) s USING (workspace_id, canonical_id)"))
+@query(with_(D.CHUNKS, DEDUP, body="SELECT chunk_id, len(s.sources) - 1 AS n_also, list_filter(s.sources, lambda x: x <> source_id)[1:10] AS also_in FROM dd JOIN (SELECT workspace_id, canonical_id, list_sort(list(DISTINCT source_id)) AS sources FROM dd GROUP BY ALL) s USING (workspace_id, canonical_id)"))
 def agg_also_in(spark: SparkSession, sf: str) -> DataFrame:
-    d = deduped(spark, sf)
-    return d.join(ingest.source_refs(d), ["workspace_id", "canonical_id"]).select("chunk_id", F.array_remove("sources", F.col("source_id")).alias("also_in"))
+    return ingest.also_in(deduped(spark, sf)).select("chunk_id", "n_also", "also_in")
 
 
 @query(with_(D.CHUNKS, body="SELECT workspace_id, text_hash, arg_min(chunk_id, (created_at, chunk_id)) AS chunk_id FROM chunks WHERE is_active GROUP BY ALL"))
@@ -317,13 +316,13 @@ def trigger_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scanned(spark, sf)
 
 
-@query(with_(HITS, D.VECTORS, D.CATEGORIES, "s AS (SELECT vec_id AS message_id, category_id AS cluster, round(coalesce(list_cosine_similarity(v, centre), 0), 6) AS similarity FROM vectors, categories WHERE vec_id NOT IN (SELECT message_id FROM hits))", body="SELECT * FROM (SELECT * FROM s WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY similarity DESC, cluster) <= 3) WHERE cluster <> 4"))
+@query(with_(HITS, D.VECTORS, D.CATEGORIES, "s AS (SELECT vec_id AS message_id, category_id AS cluster, round(coalesce(list_cosine_similarity(v, centre), 0), 6) AS similarity FROM vectors, categories WHERE vec_id NOT IN (SELECT message_id FROM hits WHERE cluster = 'C'))", body="SELECT * FROM (SELECT * FROM s WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY similarity DESC, cluster) <= 3) WHERE cluster <> 4"))
 def trigger_similar(spark: SparkSession, sf: str) -> DataFrame:
     """Messages are the documents with an embedding; those with a keyword's hit aren't compared."""
     messages = D.vectors(spark, sf).select(F.col("vec_id").alias("message_id"), F.col("v").alias("q"))
     clusters = D.categories(spark, sf).select(F.col("category_id").alias("cluster"), F.col("centre").alias("v"))
     off = spark.createDataFrame([("cluster:4",)], "trigger_id string")
-    return work.trigger_similar(messages, scanned(spark, sf).select("message_id").distinct(), clusters, off, least=0.5)
+    return work.trigger_similar(messages, scanned(spark, sf).where("cluster = 'C'").select("message_id").distinct(), clusters, off, least=0.5)
 
 
 @query("SELECT c_custkey, (length(c_name) BETWEEN 2 AND 30) AND regexp_full_match(lower(replace(c_name, '#', '_')), '[a-zäöüß0-9_-]+') AND (length(c_name) < 5 OR (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(lower(replace(c_name, '#', '_')), '')) AS ch) GROUP BY ch)) <= length(c_name) * 0.6) AS plausible FROM customer")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +55,25 @@ CHUNKS = f"""chunks AS (
   FROM documents)"""
 
 
+_STORED: dict[tuple[str, str], object] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str):
+    """The postings of the chunks, built once for a session in the folder of `spark.checkpoint.dir` and then read."""
+    from memlake.operators.lexical import Index
+
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORED:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not base:
+            base = tempfile.mkdtemp(prefix="memlake-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+        _STORED[at] = Index.of(chunks(spark, sf_dir).select("chunk_id", "text", "summary"), path=f"{base.rstrip('/')}/postings-{uuid.uuid4().hex}")
+    return _STORED[at]
+
+
 def project_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).where("doc_id % 11 = 0").select("chunk_id", F.lit("p1").alias("project_id"), "workspace_id")
 
@@ -57,13 +81,13 @@ def project_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINKS = "links AS (SELECT chunk_id, 'p1' AS project_id, workspace_id FROM chunks WHERE doc_id % 11 = 0)"
 
 
-def search_queries(spark: SparkSession, sf_dir: str, least: int = 0, most: int = 7) -> DataFrame:
-    """(query_id, query): the first words of some benchmark items."""
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query): the first words of every benchmark item."""
     words = F.slice(F.split("text", r"\s+"), 1, 6)
-    return table(spark, sf_dir, "benchmark").where(F.col("item_id").between(least, most)).select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
-QUERIES = "queries AS (SELECT item_id AS query_id, array_to_string(string_split_regex(text, '\\s+')[1:6], ' ') AS query FROM benchmark WHERE item_id BETWEEN 0 AND 7)"
+QUERIES = "queries AS (SELECT item_id AS query_id, array_to_string(string_split_regex(text, '\\s+')[1:6], ' ') AS query FROM benchmark)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

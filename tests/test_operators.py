@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlake.functions import text as T
-from memlake.operators import ingest, rank, vector, work
+from memlake.operators import ingest, lexical, rank, vector, work
 from memlake.operators.scope import Scope, metadata_filter, scoped
 from memlake.plans.retrieval import search_
 
@@ -47,7 +47,7 @@ def test_keyword_lane_finds_rare_tokens(spark):
     rows = [(f"n{i}", f"unrelated filler text number {i}", "") for i in range(40)] + [("t", "here is zebrafish", ""), ("s", "other", "the zebrafish summary")]
     df = spark.createDataFrame(rows, "chunk_id string, text string, summary string").withColumns({"source_id": F.col("chunk_id"), "labels": F.array().cast("array<string>"), "is_active": F.lit(True), "source_class": F.lit("code"), "created_at": F.lit("2024-01-01").cast("timestamp")})
     q = spark.createDataFrame([(1, "zebrafish")], "query_id int, query string")
-    hits = search_(df, q, Scope(), F.lit("2024-01-02").cast("timestamp"))
+    hits = search_(lexical.Index.of(df), df, q, Scope(), F.lit("2024-01-02").cast("timestamp"))
     assert {r["chunk_id"] for r in hits.collect()} == {"t", "s"}
 
 
