@@ -313,7 +313,7 @@ def entries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return d.select(F.col("doc_id").alias("idx"), F.expr("substring(text, 1, cast(10 + doc_id % 60 as int))").alias("text")), d.select(F.substring("text", 1, 200).alias("context"), (F.col("n_chars") % 3 > 0).alias("was_referenced"))
 
 
-@query(with_(ENTRIES, body="SELECT idx, refs, round(0.2 * least(refs, 3), 4) AS boost FROM refs"))
+@query(with_(ENTRIES, body="SELECT idx, refs, round(0.2::DOUBLE * least(refs, 3), 4) AS boost FROM refs"))
 def agg_snapshot_boost(spark: SparkSession, sf: str) -> DataFrame:
     return memory.snapshot_references(*entries(spark, sf)).withColumn("boost", F.round(0.2 * F.least("refs", F.lit(3)), 4))
 
