@@ -19,7 +19,8 @@ STAGES = [
     ("byte-level BPE", bpe.stage),
 ]
 
-#: SQL can express neither the classifier nor the tokenizer; the tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the tokenizer; tests/llm holds the operators behind the stages against
+#: brute force, a held-out sample or a round trip.
 ORACLE_SQL = None
 
 
