@@ -9,8 +9,12 @@ A document is the set of its word shingles' 64-bit hashes, its sketch the K leas
    values estimates its similarity (exactly for sets within L); pairs far below go.
 3. The pairs left are verified on full sets, each class's best pair first; links make components, and pairs within
    one component need no verifying.
-4. Lists that still hold several components are searched for pairs across these, in bounded blocks that keep only the
-   pairs with enough shared values; step 3 takes them too.  So no link between components is missed.
+4. Lists that still hold several components are searched for pairs across these.  Short lists compare all their
+   sketches.  The classes of long ones are met again by full sets: a class enters the lists of those of its values, the
+   rarest first, that can be the first one shared with a similar set, and there only meets sizes near its own.  Each such
+   list pairs the class of fewest rarer values with the others; lists that then still hold several components pair these.
+   Step 3 takes all of them.  So no link between components is missed, and widespread texts that differ too much from
+   each other fill no long lists.
 
 Words are runs of other than ASCII white space, lower-cased in A-Z.  Fewer words than a shingle make one shingle; no
 words (or a null text) none, and such documents are linked with nothing.  Copies of one text, repeated rows included,
@@ -33,7 +37,10 @@ from memlake.llm.graphs import components
 K, NEED = 48, 22
 #: Retained values that estimate a pair, and how many a similar pair shares but for a chance below 1e-7.
 L, NEED_L = 128, 76
-BLOCK = 256
+#: Lists of more classes are searched by full sets.
+BLOCK = 64
+#: Sizes within this factor share a cell; a cell's pairs are met in parts of so many classes.
+STEP, PART = 1.05, 4096
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)
 
 
@@ -157,6 +164,64 @@ def _across(percent: int):
     return run
 
 
+def _tokens(width: int):
+    """(node, text) to (node, n, value): the full set, a row for each value."""
+
+    def run(batches):
+        for b in batches:
+            for node, text in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), strict=True):
+                s = shingles(text, width)
+                for i in range(0, len(s), 1 << 16):
+                    part = s[i : i + (1 << 16)].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(part), node), np.full(len(part), len(s)), part)], names=["node", "n", "value"])
+
+    return run
+
+
+def _prefixes(tokens: DataFrame, percent: int) -> DataFrame:
+    """(node, n, value, pos): of full sets in the order of rarity the values that can be a similar pair's first shared one.
+
+    A set of n shares percent * n / 100 values or more with any similar one, so the first shared one has as many from it on.
+    """
+    often = tokens.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    met = tokens.join(often, "value").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("met"))
+    alone = (F.col("n") - F.size("met")).alias("alone")  # values of one set come first
+    room = F.greatest(F.lit(0), F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("alone")).cast("int")
+    found = met.select("node", "n", alone, "met").select("node", "n", "alone", F.posexplode(F.slice("met", F.lit(1), room)).alias("at", "m"))
+    return found.select("node", "n", F.col("m.value").alias("value"), (F.col("alone") + F.col("at")).alias("pos"))
+
+
+def _cells(found: DataFrame, percent: int) -> DataFrame:
+    """(value, low, high, node, n, pos, side): a row for each class of sizes that may hold a similar set's size.
+
+    Classes of sizes are steps of a factor; low and high are a pair's two.  Two sets of n and m that are similar share
+    percent * (n + m) / (100 + percent) or more, and their first shared value has as many from it on in either.
+    """
+    step = F.floor(F.log("n") / F.lit(float(np.log(STEP)))).cast("int")
+    reach = int(np.log(100 / percent) / np.log(STEP)) + 1
+    out = found.withColumn("own", step).withColumn("other", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)))
+    least = F.pow(F.lit(STEP), F.col("other")) * (1 - 1e-9)
+    out = out.where(F.col("n") - F.col("pos") >= F.lit(percent / (100 + percent)) * (F.col("n") + least) - 1e-6)
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return out.select("value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "n", "pos", side.alias("side"))
+
+
+def _cross_pairs(cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a cell, of different roots, that may be similar by where their shared value lies."""
+    key = ["value", "low", "high"]
+    mixed_cells = cells.groupBy(*key).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x < y").select(*key, F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    own = cells.join(mixed_cells, key)
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    left, right = (own.select(*key, "parts", *(F.col(c).alias(f"{c}{x}") for c in ("node", "n", "pos", "side", "root")), part.alias(f"part{x}")) for x in "ab")
+    left = left.withColumnRenamed("parta", "part")
+    right = right.drop("partb").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    # In a cell of two classes of sizes side 0 is the left one; in one of one class both are, and the least is left.
+    sided = ((F.col("sidea") == 0) & (F.col("sideb") == 1)) | ((F.col("sidea") == 2) & (F.col("nodea") < F.col("nodeb")))
+    shared = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    met = left.join(right, [*key, "part"]).where(sided & shared & (F.col("roota") != F.col("rootb")))
+    return met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, n, node) per document of (doc_id, text); (node, root) of the classes that are linked."""
     spark = docs.sparkSession
@@ -209,25 +274,39 @@ def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     some = written(estimated(pairs))
     if not some.isEmpty():
         join_up(some)
-    mixed_lists = rooted(lists, "node", "root").groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x < y")
-    rest = rooted(lists.join(mixed_lists.select("value", "size"), "value"), "node", "root")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    # A list of several blocks becomes a cell for each pair of blocks; within cell (i, i) all sides may pair.
-    celled = rest.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    celled = celled.select("value", "node", "root", (low * blocks + high).cast("long").alias("cell"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
-    celled = written(celled.join(sketches, "node"))
-    groups = max(1, celled.count() // 4_000)
+    # The one pair of a list of two has been estimated.
+    mixed_lists = rooted(lists, "node", "root").groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x < y AND size > 2")
+    rest = written(rooted(lists.join(mixed_lists.select("value", "size"), "value"), "node", "root"))
+    short = rest.where(F.col("size") <= BLOCK).select("value", "node", "root", F.lit(0).alias("cell"), F.lit(2).alias("side"))
+    short = written(short.join(sketches, "node"))
+    groups = max(1, short.count() // 4_000)
     by = F.pmod(F.xxhash64("value", "cell"), F.lit(groups))
-    across = celled.groupBy(by.alias("g")).applyInPandas(_across(percent), "a long, b long, similar double")
-    across = across.groupBy("a", "b").agg(F.max("similar").alias("similar"))
-    more = written(across.join(some.select("a", "b"), ["a", "b"], "left_anti"))
+    across = short.groupBy(by.alias("g")).applyInPandas(_across(percent), "a long, b long, similar double")
+    more = across.groupBy("a", "b").agg(F.max("similar").alias("similar")).join(some.select("a", "b"), ["a", "b"], "left_anti")
+    crowd = written(nodes.join(rest.where(F.col("size") > BLOCK).select("node").distinct(), "node", "left_semi").select("node", "th"))
+    spent += [rest, short, crowd]
+    cells = None
+    if not crowd.isEmpty():
+        whole = only_keys(docs, crowd, "th").join(crowd, "th").select("node", "text").dropDuplicates(["node"])
+        tokens = written(whole.mapInArrow(_tokens(width), "node long, n long, value long"))
+        cells = written(_cells(_prefixes(tokens, percent), percent))
+        drop_written(tokens)
+        spent.append(cells)
+        hub = cells.groupBy("value", "low", "high").agg(F.min(F.struct("pos", "node")).alias("hub")).select("value", "low", "high", F.col("hub.node").alias("hub"))
+        stars = cells.join(hub, ["value", "low", "high"]).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        stars = rooted(rooted(stars, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
+        more = more.unionByName(estimated(stars)).groupBy("a", "b").agg(F.max("similar").alias("similar"))
+    more = written(more)
     if not more.isEmpty():
         join_up(more)
+    if cells is not None:
+        last = written(estimated(_cross_pairs(rooted(cells, "node", "root"), percent)).join(more.select("a", "b"), ["a", "b"], "left_anti"))
+        spent.append(last)
+        if not last.isEmpty():
+            join_up(last)
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
-    drop_written(*spent, some, more, celled)
+    drop_written(*spent, some, more)
     return made.select("doc_id", "th", "n", "node"), roots
 
 

@@ -272,6 +272,29 @@ def test_crowded_lists_lose_no_link():
     assert set(zip(out["a"], out["b"])) == want and len(want) >= 6
 
 
+def test_crowds_are_not_compared_all_with_all(spark, monkeypatch):
+    """Many variants of one text around the threshold: every link is found, and pairs to verify follow the documents."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for _ in range(rng.randint(0, 36)):
+            copy[rng.randrange(300)] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    pairs, written = [], neardup.written
+
+    def counted(df):
+        out = written(df)
+        pairs.extend([out.count()] if out.columns == ["a", "b", "similar"] else [])
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    got = rows_of(neardup.near_duplicates(table(spark, rows), 4).select("doc_id", "n_shingles", "component_id", "kept"))
+    assert got == brute_near(rows, 4)
+    assert sum(pairs) < 20 * len(rows)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)]
