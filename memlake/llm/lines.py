@@ -69,7 +69,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))
     gone = repeated_lines(docs.select(order.alias("ord"), row_key().alias("rid"), "text"))
     gone = gone.select(F.col("ord").alias("memlake_ord"), F.col("rid").alias("memlake_rid"), F.col("runs").alias("memlake_runs"))
-    out = docs.withColumns({"memlake_ord": order, "memlake_rid": row_key()}).join(gone, ["memlake_ord", "memlake_rid"], "left")
+    # The runs grow with the input: one plan for all sizes, no broadcast while they happen to be few.
+    out = docs.withColumns({"memlake_ord": order, "memlake_rid": row_key()}).join(gone.hint("merge"), ["memlake_ord", "memlake_rid"], "left")
     lines, runs, m = F.split("text", "\n", -1), F.col("memlake_runs"), F.size("memlake_runs")
 
     def piece(j: Column) -> Column:

@@ -414,6 +414,14 @@ def test_line_dedup(spark):
     assert lines.deduplicated(df.limit(0)).isEmpty()
 
 
+def test_line_dedup_has_one_plan_for_all_sizes(spark):
+    """Texts meet their runs by a sort-merge join, however few the runs are."""
+    rows = [(i, "p\nq\nr") for i in range(20)]
+    out = lines.deduplicated(table(spark, rows))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_only_window_minima_are_kept(spark):
     """Fewer fingerprints than grams, one of every two neighbouring grams at least, and matches extended both ways."""
     rng = random.Random(13)
