@@ -585,6 +585,19 @@ def test_chaining_finds_every_copy(spark):
     assert found == [(2, 30, 60), (2, 190, 60), (3, 170, 60)]
 
 
+def test_chaining_finds_passages_of_scattered_firsts(spark):
+    """Every stretch of 12 words was in some earlier document, but only one of them holds the whole passage."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    words = lambda n: [word() for _ in range(n)]
+    passage = words(72)
+    scattered = [(i, words(20) + passage[6 * i : 6 * i + 12] + words(20)) for i in range(11)]
+    rows = [*scattered, (20, words(30) + passage + words(30)), (21, words(40) + passage + words(10)), (22, words(60))]
+    found = {r["doc_id"]: r for r in chains.passages(table(spark, [(i, " ".join(w)) for i, w in rows])).collect()}
+    assert set(found) == {21} and found[21]["source_ids"] == [20]
+    assert (found[21]["start_word"], found[21]["n_words"], found[21]["identity"]) == (40, 72, 1)
+
+
 def test_edit_distance():
     def plain(a, b):
         d = list(range(len(b) + 1))
