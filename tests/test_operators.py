@@ -139,3 +139,34 @@ def test_streams(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination(60)
     assert [tuple(r) for r in spark.table("counters").collect()] == [(1, 30, 15, True)]
     assert [tuple(r) for r in spark.table("moves").collect()] == [("A", "B", 30)]
+
+
+def test_neighbours_in_blocks_are_those_by_pairs(spark, monkeypatch):
+    import random
+
+    from memlake.operators import dense
+
+    rng = random.Random(5)
+    some = [[rng.choice((-1.0, 0.0, 0.5, 1.0)) for _ in range(3)] for _ in range(120)]
+    odd = [None, [], [0.0, 0.0, 0.0], [1.0, None, 1.0], [1.0, 2.0], [1e-200, 0.0, 1e-200], [1e160, 1e160, 0.0], [float("nan"), 1.0, 0.0], [3e-155, 1e-155, 0.0]]
+    rows = list(enumerate([*some, *odd, *some]))
+    items = spark.createDataFrame(rows, "i long, v array<double>")
+    queries = spark.createDataFrame(rows[100:140], "n long, q array<double>")
+    monkeypatch.setattr(dense, "ITEMS", 50)
+    monkeypatch.setattr(dense, "QUERIES", 16)
+    monkeypatch.setattr(dense, "PAIRS", 100)
+    plain = lambda df: sorted((r["n"], r["rank"], r["i"], str(r["similarity"])) for r in df.collect())
+    for before, least in ((False, None), (True, 0.5)):
+        found = []
+        for few in (10_000, 0):
+            monkeypatch.setattr(vector, "FEW", few)
+            found.append(plain(vector.nearest(queries, items, 7, "n", "i", least=least, before=before)))
+        assert found[0] == found[1] and len(found[0]) > 40
+
+
+def test_neighbours_of_many_items_are_no_join(spark):
+    items = spark.range(300).select(F.col("id").alias("i"), F.array(F.cos("id"), F.sin("id")).alias("v"))
+    found = vector.nearest(items.where("i < 5").select(F.col("i").alias("n"), F.col("v").alias("q")), items, 2, "n", "i")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+    assert [r["i"] for r in found.where("rank = 1").orderBy("n").collect()] == [0, 1, 2, 3, 4]
