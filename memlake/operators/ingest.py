@@ -6,12 +6,15 @@ import ast
 import json
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions.text import chunk_id, skip_reason, text_hash
+from memlake.operators.dense import use_package
 
 
 def current(df: DataFrame, keys: list[str], version: list[Column]) -> DataFrame:
@@ -185,47 +188,113 @@ def ingest(incoming: DataFrame, stored: DataFrame, existing: DataFrame) -> DataF
 # -- categories
 
 DEDUCTIVE, SAME, PROMOTED_AT = 0.70, 0.92, 3
+FOLD, KNOWN = 1024, 1 << 13  # candidates and categories in one product
+SLACK = 1e-4  # more than the error of a product of unit vectors in 32 bits
+
+
+class Categories:
+    """A project's categories, in the order in which they came, and the candidates' fold over them."""
+
+    def __init__(self, project):
+        self.project, self.names, self.evidence, self.active = project, [], [], []
+        self.unit, self.short = np.zeros((0, 0)), np.zeros((0, 0), np.float32)
+
+    def add(self, name: str, evidence: int, v: np.ndarray) -> None:
+        n = len(self.names)
+        if n == len(self.unit):
+            wider = max(64, 2 * n), len(v)
+            self.unit, old = np.zeros(wider), self.unit
+            self.short, brief = np.zeros(wider, np.float32), self.short
+            if n:
+                self.unit[:n], self.short[:n] = old[:n], brief[:n]
+        self.unit[n], self.short[n] = v, v
+        self.names.append(name)
+        self.evidence.append(evidence)
+
+    def first(self, v: np.ndarray, some) -> tuple[float, int]:
+        """The best score and its category among some, the first of equals; a score that isn't a number is none."""
+        best = (-np.inf, -1)
+        for i in some:
+            score = float(self.unit[i] @ v)
+            if score > best[0]:
+                best = (score, i)
+        return best
+
+    def fold(self, rows: list[int], labels: list[str], x: np.ndarray) -> list[tuple]:
+        """(project_id, row, category, kind) of unit vectors in order.  Products say which categories each can be near
+        to: those from before, in blocks, and those that the rows before it may found; the scores of these decide."""
+        n, brief, out = len(self.names), x.astype(np.float32), []
+        deductive = [(-np.inf, -1)] * len(x)
+        if self.active:
+            to = brief @ self.short[self.active].T
+            for r, top in enumerate(to.max(axis=1)):
+                if top >= DEDUCTIVE - SLACK:
+                    deductive[r] = self.first(x[r], (self.active[j] for j in np.flatnonzero(to[r] >= top - SLACK)))
+        left = np.flatnonzero([score < DEDUCTIVE for score, _ in deductive])
+        near, ahead = [[] for _ in x], [[] for _ in x]
+        for low in range(0, n if len(left) else 0, KNOWN):
+            for r, j in np.argwhere(brief[left] @ self.short[low : min(n, low + KNOWN)].T > SAME - SLACK):
+                near[left[r]].append(low + int(j))
+        for r, j in np.argwhere(np.tril(brief[left] @ brief[left].T > SAME - SLACK, -1)):
+            ahead[left[r]].append(int(left[j]))
+        founded = {}
+        for r, (row, label) in enumerate(zip(rows, labels, strict=True)):
+            if deductive[r][0] >= DEDUCTIVE:
+                out.append((self.project, row, self.names[deductive[r][1]], "deductive"))
+                continue
+            score, at = self.first(x[r], [*near[r], *(founded[j] for j in ahead[r] if j in founded)])
+            if score > SAME:
+                self.evidence[at] += 1
+                out.append((self.project, row, self.names[at], "promoted" if self.evidence[at] == PROMOTED_AT else "merged"))
+            else:
+                founded[r] = len(self.names)
+                self.add(label, 1, x[r])
+                out.append((self.project, row, label, "new"))
+        return out
+
+
+def _fold(batches):
+    """Rows (project_id, is_candidate, row, label, embedding, status, evidence_count) in order, a project's categories
+    first, to the candidates' categories."""
+    have = None
+    for b in batches:
+        columns = [b.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6)]
+        vectors = b.column(4)
+        low, n = 0, b.num_rows
+        while low < n:
+            project, candidates, high = columns[0][low], columns[1][low], low + 1
+            while high < min(n, low + FOLD) and columns[0][high] == project and columns[1][high] == candidates:
+                high += 1
+            x = np.array([np.asarray(v, float) for v in vectors.slice(low, high - low).to_pylist()])
+            norm = np.array([np.linalg.norm(v) for v in x])
+            x = x / np.where(norm == 0, 1.0, norm)[:, None]
+            if have is None or have.project != project:
+                have = Categories(project)
+            if candidates:
+                out = have.fold(columns[2][low:high], columns[3][low:high], x)
+                kinds = (b.schema.field(0).type, pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["project_id", "row", "category", "kind"])
+            else:
+                for i in range(low, high):
+                    if columns[4][i] == "active":
+                        have.active.append(len(have.names))
+                    have.add(columns[3][i], columns[5][i], x[i - low])
+            low = high
 
 
 def assign_or_create(candidates: DataFrame, categories: DataFrame) -> DataFrame:
     """(project_id, row, category, kind): each candidate, in order of `row`, to the best active category at 0.70 or
     more, else to one above 0.92 among all (its evidence grows), else to a new one that later rows see.
 
-    The order matters, so a project's candidates are one group; `categories` holds (category_id, status, centre,
-    evidence_count, project_id).  Candidates without label or embedding are skipped.
+    The order matters, so one task has a project's candidates; it streams them in order and holds the categories alone.
+    `categories` holds (category_id, status, centre, evidence_count, project_id).  Candidates without label or embedding
+    are skipped.
     """
-    import numpy as np
-
-    rows = candidates.where((F.trim("label") != "") & (F.size("embedding") > 0)).select("project_id", "row", "label", "embedding", F.lit(None).cast("string").alias("status"), F.lit(None).cast("int").alias("evidence_count"))
-    known = categories.select("project_id", F.col("category_id").alias("row"), F.col("category_id").cast("string").alias("label"), F.col("centre").alias("embedding"), "status", F.col("evidence_count").cast("int").alias("evidence_count"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        have = group[group["status"].notna()].sort_values("row")
-        names, status = have["label"].tolist(), have["status"].tolist()
-        evidence = [int(x) for x in have["evidence_count"]]
-        unit = [np.asarray(e, float) / (np.linalg.norm(e) or 1.0) for e in have["embedding"]]
-        out = []
-        for r in group[group["status"].isna()].sort_values("row").itertuples():
-            v = np.asarray(r.embedding, float)
-            v = v / (np.linalg.norm(v) or 1.0)
-            scores = [float(u @ v) for u in unit]
-            active = [i for i, s in enumerate(status) if s == "active"]
-            best = max(active, key=lambda i: (scores[i], -i), default=None)
-            near = max(range(len(unit)), key=lambda i: (scores[i], -i), default=None)
-            if best is not None and scores[best] >= DEDUCTIVE:
-                out.append((r.project_id, r.row, names[best], "deductive"))
-            elif near is not None and scores[near] > SAME:
-                evidence[near] += 1
-                out.append((r.project_id, r.row, names[near], "promoted" if evidence[near] == PROMOTED_AT else "merged"))
-            else:
-                names.append(r.label)
-                status.append("proposed")
-                evidence.append(1)
-                unit.append(v)
-                out.append((r.project_id, r.row, r.label, "new"))
-        return pd.DataFrame(out, columns=["project_id", "row", "category", "kind"])
-
-    return rows.unionByName(known).groupBy("project_id").applyInPandas(fold, "project_id string, row long, category string, kind string")
+    use_package(candidates.sparkSession)
+    rows = candidates.where((F.trim("label") != "") & (F.size("embedding") > 0)).select("project_id", F.lit(True).alias("is_candidate"), F.col("row").cast("long").alias("row"), "label", F.col("embedding").cast("array<double>").alias("embedding"), F.lit("").alias("status"), F.lit(None).cast("int").alias("evidence_count"))
+    known = categories.where("status IS NOT NULL").select("project_id", F.lit(False).alias("is_candidate"), F.col("category_id").cast("long").alias("row"), F.col("category_id").cast("string").alias("label"), F.col("centre").cast("array<double>").alias("embedding"), "status", F.col("evidence_count").cast("int").alias("evidence_count"))
+    inorder = rows.unionByName(known).repartition("project_id").sortWithinPartitions("project_id", "is_candidate", "row")
+    return inorder.mapInArrow(_fold, "project_id string, row long, category string, kind string")
 
 
 def labels_view(links: DataFrame, most: int = 5) -> DataFrame:

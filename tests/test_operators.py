@@ -170,3 +170,47 @@ def test_neighbours_of_many_items_are_no_join(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "MapInArrow" in plan
     assert [r["i"] for r in found.where("rank = 1").orderBy("n").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_fold_is_that_of_one_row_at_a_time(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    at = rng.integers(0, 40, 400)
+    made = rng.normal(size=(40, 8))[at] + rng.normal(size=(400, 8)) * rng.choice([0.0, 0.1, 0.3], 400)[:, None]
+    made[7] = 0.0
+    rows = [(f"p{i % 2}", i, f"n{i}", v.tolist()) for i, v in enumerate(made)]
+    known = [(j, ("active", "proposed")[j % 2], made[j * 9].tolist(), 1, p) for j in range(6) for p in ("p0", "p1")]
+    want = []
+    for p in ("p0", "p1"):
+        names, status, evidence, unit = [], [], [], []
+
+        def add(name, how, v, names=names, status=status, evidence=evidence, unit=unit):
+            names.append(name), status.append(how), evidence.append(1), unit.append(v)
+
+        norm = lambda v: np.asarray(v) / (np.linalg.norm(v) or 1.0)
+        for j, how, v, _, _ in (k for k in known if k[4] == p):
+            add(str(j), how, norm(v))
+        for _, i, label, v in (r for r in rows if r[0] == p):
+            scores = [float(u @ norm(v)) for u in unit]
+            best = max((j for j in range(len(unit)) if status[j] == "active"), key=lambda j: (scores[j], -j))
+            near = max(range(len(unit)), key=lambda j: (scores[j], -j))
+            if scores[best] >= 0.70:
+                want.append((p, i, names[best], "deductive"))
+            elif scores[near] > 0.92:
+                evidence[near] += 1
+                want.append((p, i, names[near], "promoted" if evidence[near] == 3 else "merged"))
+            else:
+                add(label, "proposed", norm(v))
+                want.append((p, i, label, "new"))
+    cats = spark.createDataFrame(known, "category_id long, status string, centre array<double>, evidence_count int, project_id string")
+    out = ingest.assign_or_create(spark.createDataFrame(rows, "project_id string, row long, label string, embedding array<double>").repartition(5), cats)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert {k for *_, k in want} == {"deductive", "merged", "promoted", "new"}
+    monkeypatch.setattr(ingest, "FOLD", 32)
+    monkeypatch.setattr(ingest, "KNOWN", 16)
+    kind = "project_id string, is_candidate boolean, row long, label string, embedding array<double>, status string, evidence_count int"
+    alone = [(p, c, i, label, v, how, n) for p in ("p0", "p1") for c, i, label, v, how, n in [*((False, j, str(j), v, how, n) for j, how, v, n, q in known if q == p), *((True, i, label, v, "", None) for q, i, label, v in rows if q == p)]]
+    batches = spark.createDataFrame(alone, kind).coalesce(1).toArrow().to_batches(max_chunksize=70)
+    assert sorted(tuple(r.values()) for b in ingest._fold(batches) for r in b.to_pylist()) == sorted(want)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()  # else a project is one group in memory
