@@ -214,3 +214,13 @@ def test_fold_is_that_of_one_row_at_a_time(spark, monkeypatch):
     batches = spark.createDataFrame(alone, kind).coalesce(1).toArrow().to_batches(max_chunksize=70)
     assert sorted(tuple(r.values()) for b in ingest._fold(batches) for r in b.to_pylist()) == sorted(want)
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()  # else a project is one group in memory
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
+    df = spark.range(200).select(F.col("id").cast("string").alias("chunk_id"), F.lit("common words").alias("text"), F.lit("").alias("summary"))
+    q = spark.range(5).select(F.col("id").alias("query_id"), F.lit("common").alias("query"))
+    top = lexical.best(lexical.matches(lexical.Index.of(df), q).drop("shared"), "bm25", 3)
+    assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in top.collect()} == {(i, n + 1, c) for i in range(5) for n, c in enumerate(("0", "1", "10"))}
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    by_query = [x for x in plan.split("Final Plan")[-1].splitlines() if "Exchange hashpartitioning(" in x and "query_id" in x and "chunk_id" in x.split("ENSURE")[0]]
+    assert not by_query, plan
